@@ -6,11 +6,13 @@ from linkrain.llm.bpe import op3_bpe
 from linkrain.llm.decontaminate import op1_decontaminate
 from linkrain.llm.langid import op9_langid
 from linkrain.llm.simhash import op5_simhash
+from linkrain.llm.suffixes import op7_suffixes
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
+    "op7_suffixes": op7_suffixes,
     "op9_langid": op9_langid,
 }
 
