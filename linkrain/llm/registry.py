@@ -5,15 +5,18 @@ from __future__ import annotations
 from linkrain.llm.bpe import op3_bpe
 from linkrain.llm.decontaminate import op1_decontaminate
 from linkrain.llm.langid import op9_langid
+from linkrain.llm import licenses, urls
 from linkrain.llm.simhash import op5_simhash
 from linkrain.llm.suffixes import op7_suffixes
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_urls": urls.op2_urls,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
     "op7_suffixes": op7_suffixes,
     "op9_langid": op9_langid,
+    "op10_licenses": licenses.op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_urls": urls.ORACLE_SQL, "op10_licenses": licenses.ORACLE_SQL}
