@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from linkrain.llm.common import column, slices
 
 #: Words whose tokens a task remembers; beyond it the memory starts anew, results are the same.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: A word of more symbols is streamed and not remembered.
 REMEMBERED_SYMBOLS = 256
 _END = 0xE000
@@ -37,11 +37,26 @@ _END = 0xE000
 _MAYBE_LATE = re.compile("[\u0530-\U0010ffff]")
 
 
+#: Ranges with letters or digits of Unicode 16.0 that unicodedata of 15.1 takes for unassigned.
+_UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113E2), (0x116D0, 0x116E3),
+    (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+)
+#: Small letters of capitals that are newer than unicodedata.
+_SMALL = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0x1C89: 0x1C8A} | {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
+
+
+_MAYBE_SMALL = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
 def late_characters() -> str:
-    """A character class of what the regex module takes for letters or digits and unicodedata for unassigned."""
-    late = [c for c in range(0x530, 0x110000) if unicodedata.category(chr(c)) == "Cn" and regex.match(r"[\p{L}\p{N}]", chr(c))]
+    """A character class of what the regex module takes for letters or digits but vocabularies' Unicode (16.0) doesn't have."""
+    unassigned = "".join(c for c in map(chr, range(0x530, 0x110000)) if unicodedata.category(c) == "Cn")
+    late = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", unassigned)]
     runs: list[list[int]] = []
     for c in late:
+        if any(a <= c <= b for a, b in _UNICODE_16):
+            continue
         if runs and runs[-1][1] == c - 1:
             runs[-1][1] = c
         else:
@@ -83,6 +98,7 @@ class Model:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.ranks[ids[a], ids[b]] = (rank, ids[a + b])
+        self.steps = {a << 20 | b: rank << 20 | ab for (a, b), (rank, ab) in self.ranks.items()}
         self.first = [ids[s] for s in self.symbols]
         self.last = [ids[s + self.end_mark] for s in self.symbols]
         self.lengths = {i: len(self._key(p)) for p, i in self.vocab.items()}
@@ -121,15 +137,9 @@ class Model:
         n = len(ids)
         if n < 2:
             return ids
+        if n <= 32:
+            return self._merge_short(ids)
         ranks = self.ranks
-        if n <= 24:
-            while True:
-                low = min((r[0], i, r[1]) if (r := ranks.get((ids[i], ids[i + 1]))) else (1 << 60, i, 0) for i in range(len(ids) - 1))
-                if low[0] == 1 << 60:
-                    return ids
-                ids[low[1] : low[1] + 2] = [low[2]]
-                if len(ids) == 1:
-                    return ids
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
         heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -147,6 +157,24 @@ class Model:
         return [t for t, a in zip(ids, alive) if a]
 
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """merge() of a few symbols, with the steps of all pairs in a list; a step is rank and result in one number."""
+        get, none = self.steps.get, 1 << 62
+        steps = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while steps:
+            low = min(steps)
+            if low == none:
+                break
+            i = steps.index(low)
+            ids[i : i + 2] = [low & 0xFFFFF]
+            del steps[i]
+            if i < len(steps):
+                steps[i] = get(ids[i] << 20 | ids[i + 1], none)
+            if i:
+                steps[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+        return ids
+
+
 class WordEncoder:
     """Streaming encoder of one word: feed() bytes in any pieces, tokens come out once they are final."""
 
@@ -178,21 +206,25 @@ class Encoder:
     """Texts to tokens; words are remembered within a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.memory = model, {}
+        self.model, self.memory, self.decoder = model, {}, Decoder(model)
 
     def _normal(self, text: str) -> str:
         if not self.model.fold:
             return text
         # one character at a time has no final form of sigma
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.translate(_SMALL) if _MAYBE_SMALL.search(text) else text
 
     def word(self, word: str) -> tuple[int, str, str]:
         """(tokens, ids in decimal, pieces as decoded), blanks between."""
-        data = word.encode()
-        encoder = WordEncoder(self.model)
-        ids = [*encoder.feed(data), *encoder.finish()]
-        decoder = Decoder(self.model)
-        out = len(ids), " ".join(map(str, ids)), decoder.feed(ids)
+        data, m = word.encode(), self.model
+        if len(data) <= m.lookahead:  # all of the word is within the lookahead
+            first = m.first
+            ids = m.merge([*[first[b] for b in data[:-1]], m.last[data[-1]]])
+        else:
+            encoder = WordEncoder(m)
+            ids = [*encoder.feed(data), *encoder.finish()]
+        out = len(ids), " ".join(map(str, ids)), self.decoder.feed(ids, True)
         if len(data) <= REMEMBERED_SYMBOLS:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
@@ -227,13 +259,16 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.byte_of = {s: b for b, s in enumerate(model.symbols)}
 
-    def feed(self, ids: Iterable[int]) -> str:
+    def feed(self, ids: Iterable[int], alone: bool = False) -> str:
+        """Text of further tokens; of tokens that are a whole text or word if alone."""
         m = self.model
         if m.joined_by_blank:
+            if alone:
+                return " ".join([m.pieces[i] for i in ids])
             out = " ".join(m.pieces[i] for i in ids if i in m.pieces)
             out, self.begun = (" " + out if self.begun and out else out), self.begun or bool(out)
             return out
-        return self.text(ids)
+        return self.text(ids, alone)
 
     def text(self, ids: Iterable[int], last: bool = False) -> str:
         m, out = self.model, []
@@ -271,9 +306,9 @@ def bpe_encode(documents: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("
             for batch in slices(whole, "__text"):
                 rows = []
                 for t in column(batch, "__text").to_pylist():
-                    parts = encoder.parts((t or b"").decode())
-                    text = " ".join([p[1] for p in parts])
-                    row = [sum([p[0] for p in parts]), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest()]
+                    counts, texts, pieces = [*zip(*encoder.parts((t or b"").decode()))] or ((), (), ())
+                    text = " ".join(texts)
+                    row = [sum(counts), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(pieces).encode()).hexdigest()]
                     rows.append(row + [[int(i) for i in text.split()]] * ids)
                 cols = [*zip(*rows)] or [()] * len(new)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, (_, t, _) in zip(cols, new))], names=[*keep, *(n for n, *_ in new)])
