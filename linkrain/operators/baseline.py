@@ -40,7 +40,7 @@ def baseline_constant(df: DataFrame, trsl: str = "trsl", wet: str = "wet", out:
         anchor = ~x | (F.row_number().over(w) == 1)
         df = df.withColumn(out, F.last(F.when(anchor, F.struct(F.col(trsl).cast("double").alias("v"))), True).over(before(w))["v"])
     else:
-        schema = df.withColumn(out, F.lit(0.0)).schema
+        schema = df.withColumn(out, F.lit(None).cast("double")).schema
 
         def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(time, kind="stable")
@@ -110,7 +110,7 @@ def waa_schleiss(df: DataFrame, trsl: str = "trsl", baseline: str = "baseline",
     att = F.col(trsl).cast("double") - F.col(baseline).cast("double")
     is_wet = F.coalesce(F.col(wet).cast("double") == 1, F.lit(False))
     if q <= 0:
-        schema = df.withColumn(out, F.lit(0.0)).schema
+        schema = df.withColumn(out, F.lit(None).cast("double")).schema
 
         def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(time, kind="stable")

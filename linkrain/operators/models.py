@@ -59,12 +59,13 @@ def scored(df: DataFrame, arrays: str, predict: Callable[[np.ndarray], np.ndarra
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            made = pd.Series([None] * len(part), part.index, dtype=object)
-            ok = part.notna().to_numpy()
-            if ok.any():
-                x = np.stack(part[ok].to_list()).reshape(-1, *shape).astype(np.float32)
-                made[ok] = [*np.asarray(predict(x), float).reshape(len(x), -1)]
-            yield made
+            made: list = [None] * len(part)
+            ok = np.flatnonzero(part.notna().to_numpy())
+            if len(ok):
+                x = np.stack(part.iloc[ok].to_list()).reshape(-1, *shape).astype(np.float32)
+                for i, y in zip(ok, np.asarray(predict(x), float).reshape(len(x), -1)):
+                    made[i] = y
+            yield pd.Series(made, part.index, dtype=object)
 
     return df.withColumn(out, run(arrays))
 

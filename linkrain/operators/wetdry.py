@@ -76,7 +76,7 @@ def stft_wet(df: DataFrame, rsl: str = "rsl", out: str = "wet", keys=KEYS, time:
 
     Null levels are NaN, which the windows around them spread; a series shorter than the window is dry.
     """
-    schema = df.withColumns({out: F.lit(False), "P_sum_diff": F.lit(0.0)}).schema
+    schema = df.withColumns({out: F.lit(False), "P_sum_diff": F.lit(None).cast("double")}).schema
     length = how.get("window_length", 256)
 
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
