@@ -34,10 +34,10 @@ from linkrain.llm.common import column
 LENGTH = 100
 GRAM = 50
 #: Bytes of text for which there is one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Occurrences of an anchor beyond which its strings are sent one by one.
 HOT = 100_000
-_CHUNK, _PACK = 1 << 20, 16 << 20
+_CHUNK, _PACK = 1 << 19, 8 << 20
 _LAST = (1 << 63) - 1
 
 
