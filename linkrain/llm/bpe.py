@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from linkrain.llm.common import column, slices
 
 #: Words whose tokens a task remembers; beyond it the memory starts anew, results are the same.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: A word of more symbols is streamed and not remembered.
 REMEMBERED_SYMBOLS = 256
 _END = 0xE000
@@ -303,15 +304,20 @@ def bpe_encode(documents: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Model(*spec.value))
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                rows = []
+            for batch in slices(whole, "__text", 1 << 20):
+                rows, sizes, numbers = [], [0], []
                 for t in column(batch, "__text").to_pylist():
                     counts, texts, pieces = [*zip(*encoder.parts((t or b"").decode()))] or ((), (), ())
                     text = " ".join(texts)
-                    row = [sum(counts), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(pieces).encode()).hexdigest()]
-                    rows.append(row + [[int(i) for i in text.split()]] * ids)
-                cols = [*zip(*rows)] or [()] * len(new)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, (_, t, _) in zip(cols, new))], names=[*keep, *(n for n, *_ in new)])
+                    row = (sum(counts), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(pieces).encode()).hexdigest())
+                    rows.append(row)
+                    if ids:
+                        numbers.append(np.array(text.split(), np.int32))
+                        sizes.append(sizes[-1] + row[0])
+                made = [pa.array(c, t) for c, (_, t, _) in zip(zip(*rows), new)]
+                if ids:
+                    made.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(numbers))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *(n for n, *_ in new)])
 
     return kept.mapInArrow(run, schema)
 
