@@ -320,7 +320,9 @@ def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram:
     def contexts(key, docs, asked):
         did, th, lo, more, h, often = _joined(asked.column("data").to_pylist(), "<i8", "<i8", "<u4", "<u1", "<u8", "<u1")
         by = np.lexsort((lo, th, did))
-        did, th, lo, more, h, often = (x[by] for x in (did, th, lo, more, h, often))
+        once = np.ones(len(by), bool)  # rows equal in id and text ask for the same
+        once[1:] = (did[by[1:]] != did[by[:-1]]) | (th[by[1:]] != th[by[:-1]]) | (lo[by[1:]] != lo[by[:-1]])
+        did, th, lo, more, h, often = (x[by[once]] for x in (did, th, lo, more, h, often))
         text_of = dict(zip(zip(docs.column("did").to_pylist(), docs.column("th").to_pylist()), map(zstandard.decompress, docs.column("text").to_pylist())))
         seen: set[bytes] = set()
         out, done = [], []
