@@ -70,7 +70,8 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, threshol
     documents = documents.drop(*new)
     if not rows:
         return documents.select("*", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.lit(None).cast("int").alias("unit"), F.lit(0).alias("n_matches"))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # sizes that no template allows; the slack is for rounding
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     least, most = min(sum(c.values()) for *_, c in rows) * low, max(sum(c.values()) for *_, c in rows) * high
     literal = _literal(rows)
 
@@ -88,7 +89,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, threshol
         return F.struct(u["unit"].alias("unit"), u["n"].alias("n"), F.zip_with(F.slice(words, 1, u["n"]), F.slice(words, 2, u["n"]), lambda a, b: F.concat(a, F.lit(" "), b)).alias("grams"))
 
     def compared(u: Column) -> Column:
-        fit = F.filter(literal, lambda t: (u["n"] >= t["m"] * low) & (u["n"] <= t["m"] * high))
+        fit = F.filter(literal, lambda t: F.lit(2.0) * F.least(u["n"], t["m"]) / (u["n"] + t["m"]) >= threshold)
 
         def match(t: Column) -> Column:
             common = F.aggregate(t["grams"], F.lit(0), lambda acc, g: acc + F.least(g["n"], F.size(F.filter(u["grams"], lambda x: x == g["g"]))))
@@ -114,7 +115,6 @@ def op10_licenses(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rows = ", ".join(f"({i}, '{name}', '{g}', {n})" for i, name, c in template_rows(TEMPLATES) for g, n in c.items())
-    low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     return f"""
     WITH docs AS (
       SELECT row_number() OVER () AS r, doc_id, regexp_replace(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{_OTHER}', ' ', 'g') AS t FROM documents),
@@ -125,7 +125,7 @@ def _sql() -> str:
       SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS unit FROM lines
       UNION ALL SELECT r, regexp_replace(replace(t, chr(10), ' '), ' +', ' ', 'g'), 0 FROM lines WHERE len(ls) > 1),
     split AS (SELECT r, unit, string_split(trim(line), ' ') AS w FROM units),
-    fit AS (SELECT r, unit, w, len(w) - 1 AS n, i, name, m FROM split JOIN sizes ON (len(w) - 1)::DOUBLE >= m::DOUBLE * {low!r}::DOUBLE AND (len(w) - 1)::DOUBLE <= m::DOUBLE * {high!r}::DOUBLE),
+    fit AS (SELECT r, unit, w, len(w) - 1 AS n, i, name, m FROM split JOIN sizes ON len(w) > 1 AND 2.0::DOUBLE * least(len(w) - 1, m) / (len(w) - 1 + m) >= {THRESHOLD!r}::DOUBLE),
     own AS (SELECT r, unit, i, g, count(*) AS c FROM (SELECT r, unit, i, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM fit) GROUP BY ALL),
     common AS (SELECT r, unit, i, sum(least(c, k)) AS s FROM own JOIN grams USING (i, g) GROUP BY ALL),
     match AS (SELECT fit.r, fit.unit, fit.i, name, 2.0::DOUBLE * s::DOUBLE / (n + m) AS dice FROM fit JOIN common USING (r, unit, i) WHERE 2.0::DOUBLE * s::DOUBLE / (n + m) >= {THRESHOLD!r}::DOUBLE),
