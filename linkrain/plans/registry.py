@@ -592,8 +592,8 @@ def p11_along_paths(spark, d):
 
 @query(f"WITH {_O}, {_L}, {_CLIP}, {_FIELD} SELECT cml_id, time, round(sum(value * weight), 6) AS value FROM fd JOIN wp USING (yi, xi) WHERE time > 473400 AND time < 473700 GROUP BY ALL")
 def v6_grid_series(spark, d):
-    field = _field(spark, d).where("time > 473400 and time < 473700")
-    return spatial.along_paths(field, _path_weights(spark, d)).select("cml_id", "time", _r("value"))
+    periods = links(spark, d).select("cml_id", F.lit(473400).cast("bigint").alias("start"), F.lit(473700).cast("bigint").alias("stop"))
+    return spatial.series_within_period(_field(spark, d), _path_weights(spark, d), periods).select("cml_id", "time", _r("value"))
 
 
 # --- scores and time

@@ -77,3 +77,48 @@ class CmlHdf5(DataSource):
 
     def reader(self, schema) -> _Hdf5Reader:
         return _Hdf5Reader(self.options["path"], int(self.options.get("links_per_task", 10)))
+
+
+class _NetcdfReader(DataSourceReader):
+    def __init__(self, path: str, per_task: int):
+        self.path, self.per_task = path, per_task
+
+    def partitions(self) -> list[_Groups]:
+        import netCDF4
+
+        with netCDF4.Dataset(self.path) as f:
+            n = len(f.dimensions["cml_id"])
+        return [_Groups(self.path, [*range(i, min(n, i + self.per_task))]) for i in range(0, n, self.per_task)]
+
+    def read(self, partition: _Groups) -> Iterator[tuple]:
+        import datetime
+
+        import netCDF4
+        import numpy as np
+
+        with netCDF4.Dataset(partition.path) as f:
+            times = [datetime.datetime(t.year, t.month, t.day, t.hour, t.minute, t.second) for t in netCDF4.num2date(f["time"][:], f["time"].units)]
+            channels = [str(c) for c in f["channel_id"][:]]
+            axes = [f["rsl"].dimensions.index(x) for x in ("channel_id", "time")]
+            for i in partition.names:
+                cut = tuple(i if x == "cml_id" else slice(None) for x in f["rsl"].dimensions)
+                tsl, rsl = (np.ma.filled(f[v][cut], np.nan) for v in ("tsl", "rsl"))
+                if axes[0] > axes[1]:
+                    tsl, rsl = tsl.T, rsl.T
+                for c, channel in enumerate(channels):
+                    for t, a, b in zip(times, tsl[c].tolist(), rsl[c].tolist()):
+                        yield str(f["cml_id"][i]), channel, t, int((t - datetime.datetime(1970, 1, 1)).total_seconds() * 1e9), a, b
+
+
+class CmlNetcdf(DataSource):
+    """spark.read.format("cmlnetcdf") over dimensions cml_id, channel_id, time with variables tsl and rsl. Needs netCDF4."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cmlnetcdf"
+
+    def schema(self) -> str:
+        return OBS
+
+    def reader(self, schema) -> _NetcdfReader:
+        return _NetcdfReader(self.options["path"], int(self.options.get("links_per_task", 10)))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from linkrain.functions.geo import haversine
 from linkrain.operators import baseline, blackout, nearby, temporal, timeseries, wetdry
 
 SCHEMA = "cml_id string, channel_id string, time int, trsl double, wet double"
@@ -159,15 +160,19 @@ def test_neighbours_are_those_of_the_matrix(spark, centre):
 def test_nearby_wetdry(spark):
     lin = np.linspace
     p = np.concatenate([np.full(1460, -40.0), lin(-40, -60, 15), lin(-60, -40, 25), np.full(60, -40.0), lin(-40, -50, 300), lin(-50, -40, 60), np.full(60, -40.0), lin(-40, -70, 20), lin(-70, -40, 20), np.full(30, -40.0)])
-    coords = [("id0", 0.0, 0.005, 0.01), ("id1", 0.01, 0.02, 0.02), ("id2", 0.02, 0.0, 0.03), ("id3", 0.5, 0.512, 0.51), ("id4", -0.075, 0.0, 0.075)]
+    coords = [("id0", 0.0, 0.005, 0.01), ("id1", 0.01, 0.02, 0.02), ("id2", 0.02, 0.0, 0.03), ("id3", 0.5, 0.512, 0.51), ("id4", -0.075, 0.075, 0.075)]
     links = spark.createDataFrame([(i, a, a, b, c) for i, a, b, c in coords], "cml_id string, site_a_lat double, site_a_lon double, site_b_lat double, site_b_lon double")
-    rows = [(i, "1", t, float(v), 5.0) for i, *_ in coords for t, v in enumerate(p)]
-    df = spark.createDataFrame(rows, "cml_id string, channel_id string, time int, pmin double, length_km double")
+    lengths = links.select("cml_id", haversine(F.col("site_a_lon"), F.col("site_a_lat"), F.col("site_b_lon"), F.col("site_b_lat")).alias("length_km"))
+    rows = [(i, "1", t, float(v)) for i, *_ in coords for t, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "cml_id string, channel_id string, time int, pmin double").join(lengths, "cml_id")
     got = nearby.nearby_wetdry(df, links, 15, -2.0, -0.3).cache()
     far = got.where("cml_id = 'id3'").agg(F.count("wet"), F.count("F")).first()
     assert tuple(far) == (0, 0)
     near = got.where("cml_id = 'id0'").orderBy("time").toPandas()
     assert near.wet.iloc[-2:].tolist() == [1, 1] and near.wet.iloc[23:24].notna().all() and near.wet.iloc[:23].isna().all()
+    assert near.wet.iloc[-100:-1].tolist() == [0] * 30 + [1] * 39 + [0] * 29 + [1]
+    assert got.agg(F.sum("F")).first()[0] == pytest.approx(7086.41961, abs=1e-5)
+    assert got.where("cml_id = 'id4'").agg(F.sum("wet")).first()[0] == 328
     plain = nearby.nearby_wetdry(df, links, 15, -2.0, -0.3, compat_edges=False)
     a = got.where("cml_id = 'id0'").agg(F.sum("wet")).first()[0]
     assert a - plain.where("cml_id = 'id0'").agg(F.sum("wet")).first()[0] == 2
