@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -52,15 +55,56 @@ def leijnse_values(rain, f_hz, t_kelvin: float = 293.0, gamma: float = 2.06e-5,
     return np.where(rain == 0, 0.0, 20 * np.log10(np.abs(wet / (2 * water * dry))))
 
 
-def leijnse(rain: Column, f_hz: Column, **how) -> Column:
-    """leijnse_values of columns, in Arrow batches; null gives null."""
+@dataclass
+class Complex:
+    """A complex number of two columns."""
 
-    @F.pandas_udf("double")
-    def waa(r: pd.Series, f: pd.Series) -> pd.Series:
-        out = leijnse_values(r.to_numpy(float), f.to_numpy(float), **how)
-        return pd.Series(out).where(r.notna() & f.notna())
+    re: Column
+    im: Column
+
+    @staticmethod
+    def of(x) -> Complex:
+        return x if isinstance(x, Complex) else Complex(F.lit(complex(x).real), F.lit(complex(x).imag))
+
+    def __add__(self, other) -> Complex:
+        other = Complex.of(other)
+        return Complex(self.re + other.re, self.im + other.im)
+
+    def __mul__(self, other) -> Complex:
+        if isinstance(other, (int, float)):
+            return Complex(self.re * float(other), self.im * float(other))
+        other = Complex.of(other)
+        return Complex(self.re * other.re - self.im * other.im, self.re * other.im + self.im * other.re)
+
+    def times(self, x: Column) -> Complex:
+        return Complex(self.re * x, self.im * x)
 
-    return waa(rain, f_hz)
+    def square(self) -> Column:
+        return self.re * self.re + self.im * self.im
+
+    def exp(self) -> Complex:
+        return Complex(F.exp(self.re) * F.cos(self.im), F.exp(self.re) * F.sin(self.im))
+
+    def sqrt(self) -> Complex:
+        """The root with positive real part, for a number with an imaginary part that is not negative."""
+        size = F.sqrt(self.square())
+        return Complex(F.sqrt((size + self.re) / 2), F.sqrt((size - self.re) / 2))
+
+
+def leijnse(rain: Column, f_hz: Column, t_kelvin: float = 293.0, gamma: float = 2.06e-5, delta: float = 0.24, n_antenna: complex = 1.73 + 0.014j, l_antenna: float = 0.001) -> Column:
+    """leijnse_values as an expression; null gives null."""
+    film = gamma * F.pow(rain, F.lit(delta))
+    water = Complex(*permittivity(f_hz, t_kelvin)).sqrt()
+    wave = Complex(F.lit(0.0), f_hz * (2 * math.pi / LIGHT))
+    zero = Complex(F.lit(0.0), F.lit(0.0))
+    wet, dry = zero, zero
+    cover = wave * (n_antenna * l_antenna)
+    for t in (1, -1):
+        for s in (1, -1):
+            way = cover + (wave * water).times(film) * (s * t)
+            wet = wet + (water * s + 1) * (water + s * t * n_antenna) * (n_antenna + t) * (way * -t).exp()
+        dry = dry + (cover * -t).exp() * (t * (1 + t * n_antenna) ** 2)
+    return F.when(rain == 0, F.lit(0.0)).otherwise(10 * F.log10(wet.square() / (4 * water.square() * dry.square())))
 
 
 def pastorek_values(rain, a_max: float = 14, zeta: float = 0.55, d: float = 0.1) -> np.ndarray:

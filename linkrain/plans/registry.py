@@ -286,7 +286,18 @@ def b1_baseline_constant(spark, d):
     return baseline.baseline_constant(_t(spark, d)).select("event_id", _r("baseline"))
 
 
-@query()
+_MEAN5 = "CASE WHEN len(list_filter(buf, lambda x: x IS NULL)) > 0 THEN NULL ELSE list_avg(buf) END"
+
+
+@query(
+    f"""WITH RECURSIVE {_T}, i AS (SELECT *, row_number() OVER w AS i, coalesce(wet <> 0, true) AS x, coalesce(lag(coalesce(wet <> 0, true)) OVER w, false) AS px FROM t {_W}),
+    rec AS (
+      SELECT cml_id, channel_id, 5::BIGINT AS i, list(trsl ORDER BY i) AS buf FROM i WHERE i <= 5 GROUP BY ALL
+      UNION ALL
+      SELECT s.cml_id, s.channel_id, s.i, list_append(buf[2:5], CASE WHEN s.x AND NOT s.px THEN {_MEAN5} WHEN s.x THEN buf[5] ELSE s.trsl END)
+      FROM rec r JOIN i s ON s.cml_id = r.cml_id AND s.channel_id = r.channel_id AND s.i = r.i + 1)
+    SELECT event_id, round(CASE WHEN i.i <= 5 THEN trsl ELSE buf[5] END, 6) AS baseline FROM i LEFT JOIN rec USING (cml_id, channel_id, i)"""
+)
 def b1_baseline_constant_n5(spark, d):
     return baseline.baseline_constant(_t(spark, d), n=5).select("event_id", _r("baseline"))
 
@@ -342,7 +353,23 @@ def a1_waa_schleiss(spark, d):
     return baseline.waa_schleiss(baseline.baseline_constant(_t(spark, d))).select("event_id", _r("waa"))
 
 
-@query()
+def _leijnse_sql(f_hz: float) -> str:
+    """Power ratio for one frequency: a sum of four exponentials of the film's thickness, with numbers worked out here."""
+    n, thick, wave = 1.73 + 0.014j, 0.001, 2j * np.pi * f_hz / antenna.LIGHT
+    water = complex(np.sqrt(antenna.permittivity_values(f_hz, 293.0)))
+    dry = sum(t * (1 + t * n) ** 2 * np.exp(-t * wave * n * thick) for t in (1, -1))
+    re, im = [], []
+    for t in (1, -1):
+        for s in (1, -1):
+            c = complex((1 + s * water) * (water + s * t * n) * (n + t) * np.exp(-t * wave * n * thick) / (2 * water * dry))
+            k = complex(-s * wave * water)
+            size, turn = f"exp({k.real!r}::DOUBLE * l)", f"({k.imag!r}::DOUBLE * l)"
+            re.append(f"{size} * ({c.real!r}::DOUBLE * cos{turn} - {c.imag!r}::DOUBLE * sin{turn})")
+            im.append(f"{size} * ({c.real!r}::DOUBLE * sin{turn} + {c.imag!r}::DOUBLE * cos{turn})")
+    return f"10 * log10(pow({' + '.join(re)}, 2) + pow({' + '.join(im)}, 2))"
+
+
+@query(f"WITH {_O}, f AS (SELECT event_id, 2.06e-5::DOUBLE * pow(value / 10, 0.24) AS l FROM obs) SELECT event_id, round({_leijnse_sql(20e9)}, 6) AS waa FROM f")
 def a2_waa_leijnse(spark, d):
     df = observations(spark, d).select("event_id", antenna.leijnse(F.col("value") / 10, F.lit(20e9)).alias("waa"))
     return df.select("event_id", _r("waa"))
@@ -706,7 +733,14 @@ def flagship_hourly_rain(spark, d):
     return flows.hourly_rain(_flagship(spark, d)).select("cml_id", "channel_id", hours().alias("hour"), _r("rain", 5))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_FLAG}, {_MAP}, fr AS (SELECT cml_id, channel_id, count(*) FILTER (x)::DOUBLE / count(*) AS wf FROM rr GROUP BY ALL),
+    sm AS (SELECT cml_id, sum(CASE WHEN wf < 0.95 THEN {_rate('att')} END) AS z FROM rr JOIN fr USING (cml_id, channel_id) GROUP BY ALL),
+    dd AS (SELECT yi, xi, cml_id, z, sqrt(pow(x - (site_a_lon + site_b_lon) / 2, 2) + pow(y - (site_a_lat + site_b_lat) / 2, 2)) AS d FROM gr, sm JOIN links USING (cml_id) WHERE z IS NOT NULL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY yi, xi ORDER BY d, cml_id) AS k FROM dd WHERE d < 0.05),
+    v AS (SELECT yi, xi, sum(z / (d * d)) / sum(1 / (d * d)) AS value FROM rk WHERE k <= 5 GROUP BY ALL)
+    SELECT gr.yi, gr.xi, round(value, 4) AS value FROM gr LEFT JOIN v USING (yi, xi)"""
+)
 def flagship_rain_map(spark, d):
     """Rain sums of the links with few wet rows, on a grid."""
     df = timeseries.keep_quiet_links(_flagship(spark, d), "rain", 0.95)
