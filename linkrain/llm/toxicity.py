@@ -27,10 +27,10 @@ from linkrain.llm.common import column, slices
 #: Labelled rows, about, that serve as examples (all if there are fewer; chosen by hash of the id).
 EXAMPLES = 20_000
 #: Terms that are kept, at most, and the least test statistic and number of examples of a term.
-TERMS, LEAST_G2, LEAST_DF = 2000, 25.0, 8
+TERMS, LEAST_G2, LEAST_DF = 1000, 30.0, 6
 NEIGHBOURS = 24
 _BLOCK = 64
-_STEM = 5
+_STEMS = (4, 5)
 _WORD = re.compile(r"\w+")
 
 EVIDENCE = "array<struct<doc_id: bigint, similarity: double, toxic: double>>"
@@ -45,8 +45,9 @@ def stems(words: Counter) -> Counter:
     """Words and, marked with a star, what longer words begin with."""
     out = Counter(words)
     for w, n in words.items():
-        if len(w) > _STEM:
-            out[w[:_STEM] + "*"] += n
+        for size in _STEMS:
+            if len(w) > size:
+                out[w[:size] + "*"] += n
     return out
 
 
@@ -70,16 +71,19 @@ class Index:
         self.ids = [e[2] for _, e in ordered]
         blocks = -(-len(ordered) // _BLOCK)
         self.most = np.zeros((len(self.number), blocks))
-        self.blocks: list[tuple[dict[int, int], np.ndarray]] = []
+        #: for each block its terms' weights, and where each term is in them (-1: not)
+        self.blocks: list[np.ndarray] = []
+        self.place = np.full((blocks, len(self.number)), -1, np.int32)
         for b in range(blocks):
             part = [key for key, _ in ordered[b * _BLOCK : (b + 1) * _BLOCK]]
-            own = {t: i for i, t in enumerate(sorted({t for key in part for t, _ in key}))}
+            own = sorted({t for key in part for t, _ in key})
+            self.place[b, own] = np.arange(len(own))
             weights = np.zeros((len(own), len(part)))
             for j, key in enumerate(part):
                 for t, w in key:
-                    weights[own[t], j] = w
-            self.blocks.append((own, weights))
-            self.most[[*own], b] = weights.max(axis=1)
+                    weights[self.place[b, t], j] = w
+            self.blocks.append(weights)
+            self.most[own, b] = weights.max(axis=1)
         total = self.votes.sum(axis=0) + self.none
         self.prior = float((total[1] + 1) / (total.sum() + 2))
         self.curve = (np.array([0.0]), np.array([self.prior]))
@@ -104,9 +108,9 @@ class Index:
             # an equal bound may hold an equal cosine of a smaller entry
             if bounds[b] <= 0 or (len(found) >= k and bounds[b] < kth - 1e-9):
                 break
-            own, matrix = self.blocks[b]
-            rows = [(own[t], w) for t, w in key if t in own]
-            sims = np.array([w for _, w in rows]) @ matrix[[r for r, _ in rows]]
+            rows = self.place[b, ids]
+            there = rows >= 0
+            sims = weights[there] @ self.blocks[b][rows[there]]
             at = np.flatnonzero(sims > max(kth - 1e-9, 0.0))
             found += [(round(float(sims[j]), 9), b * _BLOCK + j) for j in at.tolist()]
             if len(found) >= k:
@@ -206,7 +210,7 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Inde
             for batch in slices(whole, "__text"):
                 for text in column(batch, "__text").to_pylist():
                     words = set(terms(text))
-                    seen.update((words | {w[:_STEM] + "*" for w in words if len(w) > _STEM}) & kept)
+                    seen.update((words | {w[:size] + "*" for size in _STEMS for w in words if len(w) > size}) & kept)
                     seen[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], names=["term", "n"])
 
@@ -248,8 +252,9 @@ def score(documents: DataFrame, index: Index, threshold: float = 0.7) -> DataFra
                     for w, n in Counter(terms(text)).items():
                         if w in number:
                             counts[w] += n
-                        if len(w) > _STEM and (s := w[:_STEM] + "*") in number:
-                            counts[s] += n
+                        for size in _STEMS:
+                            if len(w) > size and (s := w[:size] + "*") in number:
+                                counts[s] += n
                     key = index.vector(counts)
                     if (got := memory.get(key)) is None:
                         s, near = index.score(key)
