@@ -19,6 +19,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from linkrain.llm.common import column, slices
 REMEMBERED = 250_000
 #: A word of more symbols is streamed and not remembered.
 REMEMBERED_SYMBOLS = 256
+#: Characters of a text, or words of a longer one, that are handled at once.
+AT_ONCE = 1 << 20
 _END = 0xE000
 
 
@@ -232,20 +235,42 @@ class Encoder:
             self.memory[word] = out
         return out
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """word() of every word of a text, and added tokens as they are written."""
-        m, out, get = self.model, [], self.memory.get
+    def parts(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+        """word() of every word of a text, and added tokens as they are written, some at a time."""
+        m, get, own = self.model, self.memory.get, self.word
         pieces = m.split_added.split(text) if m.split_added else [text]
         for i, piece in enumerate(pieces):
             if i % 2:
-                out.append((1, str(m.added[piece]), piece))
-            elif piece:
+                yield [(1, str(m.added[piece]), piece)]
+            elif len(piece) <= AT_ONCE:
                 find = m.late_words if _MAYBE_LATE.search(piece) else m.words
-                out += [get(w) or self.word(w) for w in find.findall(self._normal(piece))]
-        return out
+                if found := [get(w) or own(w) for w in find.findall(self._normal(piece))]:
+                    yield found
+            else:
+                find = m.late_words if _MAYBE_LATE.search(piece) else m.words
+                found = find.finditer(self._normal(piece))
+                while some := [get(w[0]) or own(w[0]) for w in islice(found, AT_ONCE)]:
+                    yield some
+
+    def digests(self, text: str, ids: bool) -> tuple[int, str, str, np.ndarray | None]:
+        """(tokens, SHA-256 of the ids and of the decoded text, the ids if asked for)."""
+        n, numbers = 0, []
+        hashes = (hashlib.sha256(), hashlib.sha256())
+        for some in self.parts(text):
+            counts, texts, pieces = zip(*some)
+            if n:
+                for h in hashes:
+                    h.update(b" ")
+            n += sum(counts)
+            joined = " ".join(texts)
+            hashes[0].update(joined.encode())
+            hashes[1].update(" ".join(pieces).encode())
+            if ids:
+                numbers.append(np.array(joined.split(), np.int32))
+        return n, hashes[0].hexdigest(), hashes[1].hexdigest(), np.concatenate([np.zeros(0, np.int32), *numbers]) if ids else None
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]
+        return [int(i) for some in self.parts(text) for _, ids, _ in some for i in ids.split(" ")]
 
 
 class Decoder:
@@ -305,18 +330,11 @@ def bpe_encode(documents: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("
         encoder = Encoder(Model(*spec.value))
         for whole in batches:
             for batch in slices(whole, "__text", 1 << 20):
-                rows, sizes, numbers = [], [0], []
-                for t in column(batch, "__text").to_pylist():
-                    counts, texts, pieces = [*zip(*encoder.parts((t or b"").decode()))] or ((), (), ())
-                    text = " ".join(texts)
-                    row = (sum(counts), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(pieces).encode()).hexdigest())
-                    rows.append(row)
-                    if ids:
-                        numbers.append(np.array(text.split(), np.int32))
-                        sizes.append(sizes[-1] + row[0])
-                made = [pa.array(c, t) for c, (_, t, _) in zip(zip(*rows), new)]
+                rows = [encoder.digests((t or b"").decode(), ids) for t in column(batch, "__text").to_pylist()]
+                made = [pa.array(c, t) for c, (_, t, _) in zip(zip(*rows), new[:3])]
                 if ids:
-                    made.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(numbers))))
+                    ends = np.cumsum([0, *(r[0] for r in rows)])
+                    made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[3] for r in rows]))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *(n for n, *_ in new)])
 
     return kept.mapInArrow(run, schema)
