@@ -280,22 +280,23 @@ def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram:
             yield from _rows(rows).to_batches()
 
         def meet():
-            of, h, lo, more = grams.anchors([x[2] for x in held], length)
-            did, th = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-            packed.append((h, did[of], th[of], lo.astype(np.uint32), more.astype(np.uint8)))
+            of, h, lo, more = grams.anchors([x[3] for x in held], length)
+            did, th, base = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
+            packed.append((h, did[of], th[of], (lo + base[of]).astype(np.uint32), more.astype(np.uint8)))
 
         for batch in batches:
             for did, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(text) >= length:
-                    held.append((did, th, text))
-                    size += len(text)
-                if size >= _CHUNK:
-                    meet()
-                    total += size
-                    held, size = [], 0
-                if total >= _PACK:
-                    yield from flush()
-                    packed, total = [], 0
+                # a longer text comes in pieces that share length - 1 bytes, so that each string is in one of them
+                for base in range(0, len(text) - length + 1, _CHUNK):
+                    held.append((did, th, base, text[base : base + _CHUNK + length - 1]))
+                    size += len(held[-1][3])
+                    if size >= _CHUNK:
+                        meet()
+                        total += size
+                        held, size = [], 0
+                    if total >= _PACK:
+                        yield from flush()
+                        packed, total = [], 0
         if held:
             meet()
         if packed:
