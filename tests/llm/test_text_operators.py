@@ -107,6 +107,14 @@ def test_streamed_words_are_final_in_constant_memory(model):
         assert most <= e.most + model.lookahead
 
 
+def test_long_texts_are_encoded_in_pieces(spark, model, monkeypatch):
+    texts = [*prose(random.Random(8), 10), "a<|endoftext|>b " * 9, "é" * 50]
+    docs = spark.createDataFrame([*enumerate(texts)], DOCS)
+    whole = sorted(map(repr, bpe.bpe_encode(docs, bpe.vocabulary_path()).collect()))
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    assert sorted(map(repr, bpe.bpe_encode(docs, bpe.vocabulary_path()).collect())) == whole
+
+
 def test_lookahead_is_sufficient_for_a_small_list():
     vocab = {s: i for i, s in enumerate(bpe.byte_symbols())}
     merges = [("a", "b"), ("b", "c"), ("c", "a"), ("ab", "ab"), ("bc", "a"), ("a", "bc"), ("ca", "ca")]
@@ -239,6 +247,17 @@ def test_repeats_are_removed(spark, alphabet, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
 
 
+def test_repeats_over_pieces_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_CHUNK", 64)
+    monkeypatch.setattr(suffixes, "_PACK", 300)
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 90))) for _ in range(8)]
+    docs = {i: "".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for i in range(30)}
+    got = suffixes.remove_repeats(spark.createDataFrame([*docs.items()], DOCS), length=20, gram=8).collect()
+    want = plain_removed({d: t.encode() for d, t in docs.items()}, 20)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+
+
 def test_repeats_cases(spark):
     rng = random.Random(8)
     long = "".join(rng.choice("abcdefghij") for _ in range(150))
