@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkrain.operators.timeseries import after, before
 
 
-def assign_times(df: DataFrame, index: DataFrame, label: str = "right", keys: tuple[str, ...] = (), time: str = "time", out: str = "label_time") -> DataFrame:
+def _bucket(df: DataFrame, time: str, width: int) -> Column:
+    """Whole widths (seconds, or units of a numeric time) since zero."""
+    numeric = isinstance(df.schema[time].dataType, T.NumericType)
+    return F.floor((F.col(time) if numeric else F.unix_seconds(F.col(time).cast("timestamp"))) / width)
+
+
+def assign_times(df: DataFrame, index: DataFrame, label: str = "right", keys: tuple[str, ...] = (), time: str = "time", out: str = "label_time", width: int = 86_400) -> DataFrame:
     """out is the first time of index at or after a row's ("right"), or the last at or before it ("left"); null without one.
 
-    index: times, for each key if it has the keys, else for all. The as-of join is a union of both, sorted once
-    for each key, so no row meets more than its own time.
+    index: times, for each key if it has the keys, else for all. The as-of join is a union of both, sorted
+    within buckets of time, so no row meets more than its own time and no key is in one task; what lies in
+    another bucket comes from a table of the buckets' first and last index times.
     """
     if label not in ("left", "right"):
         raise ValueError("label is left or right")
@@ -20,13 +28,21 @@ def assign_times(df: DataFrame, index: DataFrame, label: str = "right", keys: tu
     missing = [k for k in keys if k not in index.columns]
     if missing:
         times = df.select(*keys).distinct().join(times, [k for k in keys if k not in missing] or F.lit(True))
+    right = label == "right"
+    df, times = df.withColumn("__b", _bucket(df, time, width)), times.withColumn("__b", _bucket(times, time, width))
     both = df.withColumn("__i", F.lit(False)).unionByName(times.withColumn("__i", F.lit(True)), allowMissingColumns=True)
     # at equal times rows come before the index for "right", after it for "left"
-    order = F.col("__i").cast("int") * (1 if label == "right" else -1)
-    w = Window.partitionBy(*keys).orderBy(time, order)
+    w = Window.partitionBy(*keys, "__b").orderBy(time, F.col("__i").cast("int") * (1 if right else -1))
     point = F.when(F.col("__i"), F.col(time))
-    found = F.first(point, True).over(after(w)) if label == "right" else F.last(point, True).over(before(w))
-    return both.withColumn(out, found).where(~F.col("__i")).drop("__i")
+    near = F.first(point, True).over(after(w)) if right else F.last(point, True).over(before(w))
+    # one row for each key and bucket
+    end = (F.min if right else F.max)(F.when(F.col("__i"), F.col(time)))
+    ends = both.groupBy(*keys, "__b").agg(end.alias("__e"))
+    row = Window.partitionBy(*keys).orderBy("__b")
+    far = F.first("__e", True).over(row.rowsBetween(1, Window.unboundedFollowing)) if right else F.last("__e", True).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("__e", far)
+    found = both.withColumn(out, near).where(~F.col("__i")).drop("__i").join(ends, [*keys, "__b"])
+    return found.withColumn(out, F.coalesce(out, "__e")).drop("__b", "__e")
 
 
 def aggregate_onto(df: DataFrame, index: DataFrame, aggregates: dict[str, Column], label: str = "right", keys: tuple[str, ...] = (), time: str = "time", crop: bool = True) -> DataFrame:

@@ -20,8 +20,9 @@ LINKS = """
 SELECT CAST(i AS VARCHAR(9)) AS cml_id, 7 + 0.02E0 * (i % 5) AS site_a_lon, 50 + 0.02E0 * floor(i / 5.0E0) AS site_a_lat,
   7 + 0.02E0 * (i % 5) + 0.03E0 AS site_b_lon, 50 + 0.02E0 * floor(i / 5.0E0) + 0.01E0 AS site_b_lat,
   CAST(10 + i AS DOUBLE) AS frequency_ghz, CASE WHEN i % 2 = 0 THEN 'H' ELSE 'V' END AS polarization
-FROM (SELECT DISTINCT user_id % 20 AS i FROM events)
+FROM (SELECT {twenty} AS i)
 """
+LINKS_DUCKDB = LINKS.format(twenty="unnest(range(20))")
 SERIES = "PARTITION BY cml_id, channel_id ORDER BY time"
 
 
@@ -36,7 +37,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cml_id, coordinates, length_km, frequency_ghz, polarization."""
-    out = _sql(spark, sf_dir, LINKS)
+    out = spark.sql(LINKS.format(twenty="explode(sequence(0, 19))"))
     return out.withColumn("length_km", haversine(F.col("site_a_lon"), F.col("site_a_lat"), F.col("site_b_lon"), F.col("site_b_lat")))
 
 

@@ -13,14 +13,14 @@ from linkrain.functions.geo import climatological_variogram, haversine, haversin
 from linkrain.functions.udf import apply_along_time
 from linkrain.operators import baseline, blackout, metrics, models, nearby, spatial, temporal, timeseries, wetdry
 from linkrain.plans import flows
-from linkrain.plans.adapter import LINKS, OBS, SERIES, hours, links, observations
+from linkrain.plans.adapter import LINKS_DUCKDB, OBS, SERIES, hours, links, observations
 from linkrain.sources import synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _O = f"obs AS ({OBS})"
 _T = f"{_O}, t AS (SELECT *, tsl - rsl AS trsl FROM obs)"
-_L = f"l0 AS ({LINKS}), links AS (SELECT *, {haversine_sql('site_a_lon', 'site_a_lat', 'site_b_lon', 'site_b_lat')} AS length_km FROM l0)"
+_L = f"l0 AS ({LINKS_DUCKDB}), links AS (SELECT *, {haversine_sql('site_a_lon', 'site_a_lat', 'site_b_lon', 'site_b_lat')} AS length_km FROM l0)"
 _W = f"WINDOW w AS ({SERIES})"
 _HOUR = "CAST(floor(epoch(time) / 3600) AS BIGINT)"
 

@@ -270,7 +270,7 @@ def test_assign_times(spark, label):
     rng = random.Random(4)
     t, index = sorted(rng.randint(0, 100) for _ in range(50)), sorted({rng.randint(5, 95) for _ in range(12)})
     df = spark.createDataFrame([(i, x, float(x)) for i, x in enumerate(t)], "i int, time int, v double")
-    got = {r.i: r.label_time for r in temporal.assign_times(df, spark.createDataFrame([(x,) for x in index], "time int"), label).collect()}
+    got = {r.i: r.label_time for r in temporal.assign_times(df, spark.createDataFrame([(x,) for x in index], "time int"), label, width=9).collect()}
     for i, x in enumerate(t):
         side = [y for y in index if (y >= x if label == "right" else y <= x)]
         assert got[i] == ((min(side) if label == "right" else max(side)) if side else None)
