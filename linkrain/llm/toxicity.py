@@ -1,7 +1,7 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are words and beginnings of words; of them those are kept that differ between the labels of the
-examples by a likelihood-ratio test, so that a long text is compared by what matters. Examples of equal
+Terms are words and beginnings of words; of them those are kept that are much more frequent in examples
+of label 1 and pass a likelihood-ratio test, so that a long text is compared by what matters. Examples of equal
 vectors are one entry of the index with counts of both labels. Entries lie in blocks; for each term and
 block the index has the largest weight, so the products of a text's weights with these bound the cosine of
 all entries of a block. Blocks are opened from the highest bound on, until none can beat the kth cosine.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,11 +27,13 @@ from linkrain.llm.common import column, slices
 
 #: Labelled rows, about, that serve as examples (all if there are fewer; chosen by hash of the id).
 EXAMPLES = 20_000
-#: Terms that are kept, at most, and the least test statistic and number of examples of a term.
-TERMS, LEAST_G2, LEAST_DF = 1000, 30.0, 6
+#: Terms that are kept, at most; the least test statistic, number of examples and ratio of shares of a term. With many
+#: examples the test alone also finds what is a little more frequent in one label, such as a language's articles.
+TERMS, LEAST_G2, LEAST_DF, LEAST_LIFT = 1000, 30.0, 6, 3.0
 NEIGHBOURS = 24
 _BLOCK = 64
 _STEMS = (4, 5)
+_LEAST = 3
 _WORD = re.compile(r"\w+")
 
 EVIDENCE = "array<struct<doc_id: bigint, similarity: double, toxic: double>>"
@@ -163,21 +166,34 @@ class Index:
 
 
 def _usable(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, label, __text) of the examples."""
+    """(doc_id, label, __text) of the examples.
+
+    Of copies and near copies with one label, which share the smallest hashes of their words, the first is an
+    example; else a term of a text that is there a thousand times would seem to tell the labels apart.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1")
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     share = min(1.0, rows / max(1, known.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # about rows ids of eight bytes
     chosen = known.where(place < share)
-    return documents.select("doc_id", F.col("text").cast("binary").alias("__text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "__text")
+    found = documents.select("doc_id", F.col("text").cast("binary").alias("__text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "__text")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [sorted(zlib.crc32(w.encode()) for w in set(terms(t)))[:_LEAST] for t in column(batch, "__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.list_(pa.int64()))], names=[*batch.schema.names, "sig"])
+
+    signs = found.mapInArrow(signed, found.select("*", F.lit(None).cast("array<bigint>").alias("sig")).schema)
+    first = signs.groupBy("label", "sig").agg(F.min(F.struct("doc_id", "__text")).alias("x"))
+    return first.select("x.doc_id", "label", "x.__text")
 
 
 def learn(documents: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Index:
     """Chooses terms and examples; inverse document frequencies of the terms are counted over all documents.
 
     Rows held out (crc32 of the id leaves 1 by 3) are not learned from; nor are labels other than 0 and 1. An
-    id with both labels counts as toxic; repeated rows of an id are examples each.
+    id with both labels counts as toxic.
     """
     examples = _usable(documents, labels, rows).cache()
 
@@ -200,7 +216,9 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Inde
         n = F.col("n0") + F.col("n1")
         cells = [(F.col("n0"), n * a0 / (a0 + a1)), (F.col("n1"), n * a1 / (a0 + a1)), (a0 - F.col("n0"), (a0 + a1 - n) * a0 / (a0 + a1)), (a1 - F.col("n1"), (a0 + a1 - n) * a1 / (a0 + a1))]
         g2 = sum((F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-        ranked = counts.where("term != ''").withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS)
+        # share of a label's examples that have the term, a half added
+        lift = (F.col("n1") + 0.5) / (a1 + 1) / ((F.col("n0") + 0.5) / (a0 + 1))
+        ranked = counts.where("term != ''").where(lift >= LEAST_LIFT).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS)
         chosen = [r["term"] for r in ranked.collect()]
     kept = frozenset(chosen)
 
