@@ -19,7 +19,11 @@ def resample_stream(df: DataFrame, width: str, late: str, columns: list[str], ke
 
 
 def wet_sessions(df: DataFrame, gap: str, late: str, wet: str = "wet", keys=("cml_id",), time: str = "time") -> DataFrame:
-    """Wet events as sessions: a gap without a wet row ends one."""
+    """Wet events as sessions: a gap without a wet row ends one.
+
+    An event is emitted once later wet rows, of any series, are past its end: Spark filters before it takes
+    note of the time, so dry rows don't move the watermark.
+    """
     df = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).where(F.col(wet).cast("double") == 1)
     return df.groupBy(*keys, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_wet")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n_wet")
 

@@ -181,7 +181,7 @@ def test_streams(spark, tmp_path):
 
     bins = drained(levels.resample_stream(read(), "15 minutes", "1 minute", ["trsl"]), "bins")
     assert bins.trsl_n.tolist() == [15] * 7 and bins.trsl_min.min() == 0
-    events = drained(levels.wet_sessions(read(), "5 minutes", "1 minute"), "wet_events")
+    events = drained(levels.wet_sessions(read().withColumn("wet", F.when(F.col("trsl") == 119, 1).otherwise(F.col("wet"))), "5 minutes", "1 minute"), "wet_events")
     assert [(r.n_wet, (r.stop - r.start).total_seconds()) for r in events.itertuples()] == [(30, 29 * 60 + 300)]
     out = drained(levels.baseline_stream(read()), "base").sort_values("time")
     want = np.where((np.arange(120) >= 30) & (np.arange(120) < 60), 29.0, np.arange(120.0))
