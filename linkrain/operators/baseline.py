@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkrain.operators.timeseries import KEYS, after, before, series
+from linkrain.operators.timeseries import KEYS, before, next_valid, series
 
 
 def _wet(wet: Column, nan_wet: bool = True) -> Column:
@@ -74,7 +74,8 @@ def baseline_linear(df: DataFrame, rsl: str = "rsl", wet: str = "wet", out: str
     df = df.withColumns(
         {
             "__p": F.last(F.when(~F.col("__e"), point), True).over(before(w)),
-            "__q": F.first(F.when(~F.col("__e"), point), True).over(after(w)),
+            "__q": next_valid(F.when(~F.col("__e"), point), keys, time),
+            "__z": next_valid(F.when(~F.col("__e"), F.lit(1)), keys, time, 1),
             "__g": F.sum((~F.col("__e")).cast("int")).over(before(w)),
         }
     )
@@ -83,12 +84,12 @@ def baseline_linear(df: DataFrame, rsl: str = "rsl", wet: str = "wet", out: str
     p, q = F.col("__p"), F.col("__q")
     line = p["v"] + (q["v"] - p["v"]) * (F.col("__i") - p["i"]) / (q["i"] - p["i"])
     opens = F.coalesce(F.lead("__e").over(w), F.lit(False))
-    closed = F.first(F.when(~F.col("__e"), F.lit(1)), True).over(w.rowsBetween(1, Window.unboundedFollowing)).isNotNull()
+    closed = F.col("__z").isNotNull()
     spoiled = F.coalesce(F.lag("__h").over(w), F.lit(False))
     # the state of an anchor depends on what it opens, or else on what it closes
     anchor = F.when(F.when(opens & closed, F.col("__h")).otherwise(spoiled), F.lit(None).cast("double")).otherwise(F.col(rsl).cast("double"))
     inside = F.when(q.isNull(), F.lit(0.0)).when(F.col("__h"), F.lit(None).cast("double")).otherwise(line)
-    return df.withColumn(out, F.when(F.col("__e"), inside).otherwise(anchor)).drop("__i", "__s", "__e", "__p", "__q", "__g", "__h")
+    return df.withColumn(out, F.when(F.col("__e"), inside).otherwise(anchor)).drop("__i", "__s", "__e", "__p", "__q", "__z", "__g", "__h")
 
 
 def reference_level(df: DataFrame, pmin: str = "pmin", pmax: str = "pmax", wet: str = "wet", out: str = "pref", rows: int = 96, min_rows: int = 1, keys=KEYS, time: str = "time") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkrain.operators.timeseries import KEYS, after, before, rolled, series
+from linkrain.operators.timeseries import KEYS, before, next_valid, rolled, series
 
 
 def gap_markers(df: DataFrame, threshold: float, rsl: str = "rsl", keys=KEYS, time: str = "time") -> DataFrame:
@@ -20,7 +20,7 @@ def mask_from_markers(df: DataFrame, start: str = "gap_start", end: str = "gap_e
     w = series(keys, time)
     valid = F.when(F.col(rsl).isNotNull(), F.struct(F.col(start).alias("s"), F.col(end).alias("e")))
     if reverse:
-        near = F.first(valid, True).over(after(w))
+        near = next_valid(valid, keys, time)
         opened = near["e"] & ~near["s"]
     else:
         near = F.last(valid, True).over(before(w))

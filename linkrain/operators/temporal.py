@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkrain.operators.timeseries import after, before
-
 
 def _bucket(df: DataFrame, time: str, width: int) -> Column:
     """Whole widths (seconds, or units of a numeric time) since zero."""
@@ -31,15 +29,14 @@ def assign_times(df: DataFrame, index: DataFrame, label: str = "right", keys: tu
     right = label == "right"
     df, times = df.withColumn("__b", _bucket(df, time, width)), times.withColumn("__b", _bucket(times, time, width))
     both = df.withColumn("__i", F.lit(False)).unionByName(times.withColumn("__i", F.lit(True)), allowMissingColumns=True)
-    # at equal times rows come before the index for "right", after it for "left"
-    w = Window.partitionBy(*keys, "__b").orderBy(time, F.col("__i").cast("int") * (1 if right else -1))
-    point = F.when(F.col("__i"), F.col(time))
-    near = F.first(point, True).over(after(w)) if right else F.last(point, True).over(before(w))
+    # backwards for "right", and at equal times the index first: its last time so far is the one
+    towards = (lambda c: c.desc()) if right else (lambda c: c.asc())
+    last = lambda c, by, order, end: F.last(c, True).over(Window.partitionBy(*keys, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end))
+    near = last(F.when(F.col("__i"), F.col(time)), ["__b"], [towards(F.col(time)), F.col("__i").desc()], 0)
     # one row for each key and bucket
     end = (F.min if right else F.max)(F.when(F.col("__i"), F.col(time)))
     ends = both.groupBy(*keys, "__b").agg(end.alias("__e"))
-    row = Window.partitionBy(*keys).orderBy("__b")
-    far = F.first("__e", True).over(row.rowsBetween(1, Window.unboundedFollowing)) if right else F.last("__e", True).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    far = last(F.col("__e"), [], [towards(F.col("__b"))], -1)
     ends = ends.withColumn("__e", far)
     found = both.withColumn(out, near).where(~F.col("__i")).drop("__i").join(ends, [*keys, "__b"])
     return found.withColumn(out, F.coalesce(out, "__e")).drop("__b", "__e")

@@ -21,8 +21,14 @@ def before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def after(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(0, Window.unboundedFollowing)
+def next_valid(column: Column, keys: Iterable[str] = KEYS, time: str | Column = "time", skip: int = 0) -> Column:
+    """The first value that is not null from the row on, or from skip rows later.
+
+    It is the last one in the opposite order: a frame up to the end of a partition would be read anew for each
+    row, one from its start is not. The price is a second sort, without another exchange.
+    """
+    order = F.col(time) if isinstance(time, str) else time
+    return F.last(column, True).over(Window.partitionBy(*keys).orderBy(order.desc()).rowsBetween(Window.unboundedPreceding, -skip))
 
 
 def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
@@ -55,7 +61,7 @@ def interpolate(df: DataFrame, column: str, max_gap_seconds: float, out: str | N
     w = series(keys, time)
     at = F.unix_micros(F.col(time).cast("timestamp"))
     point = F.when(F.col(column).isNotNull(), F.struct(at.alias("t"), F.col(column).alias("v")))
-    df = df.withColumns({"__p": F.last(point, True).over(before(w)), "__n": F.first(point, True).over(after(w))})
+    df = df.withColumns({"__p": F.last(point, True).over(before(w)), "__n": next_valid(point, keys, time)})
     p, n = F.col("__p"), F.col("__n")
     line = p["v"] + (n["v"] - p["v"]) * (at - p["t"]) / (n["t"] - p["t"])
     fits = n["t"] - p["t"] <= int(max_gap_seconds * 1_000_000)
