@@ -1,15 +1,15 @@
 """License scans: lines and whole texts compared to licence templates by Dice's coefficient over word bigrams.
 
-Texts and templates are normalised alike: A-Z become a-z, and all that is no ASCII letter or digit and no
-character beyond ASCII is a blank. With n bigrams in a unit and m in a template, counted with repetitions,
+Texts and templates are normalised alike: all that is no ASCII letter or digit and no character beyond ASCII
+is a blank, and letters are lower case. With n bigrams in a unit and m in a template, counted with repetitions,
 the coefficient is twice the common ones by n + m, at most 2 min(n, m) / (n + m); templates whose size rules
-the threshold out are not compared. All of it are column expressions; there is no shuffle.
+the threshold out are not compared, and of a unit's bigrams only those of any template are kept. All of it are column expressions; there
+is no shuffle.
 """
 
 from __future__ import annotations
 
 import re
-import string
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -33,11 +33,11 @@ TEMPLATES = {
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
 }
 
-_OTHER = r"[^0-9a-z\x{80}-\x{10FFFF}\n]+"
+_OTHER = r"[^0-9A-Za-z\x{80}-\x{10FFFF}\n]+"
 
 
 def template_words(text: str) -> list[str]:
-    return re.findall("[0-9a-z\x80-\U0010ffff]+", text.translate({ord(c): c.lower() for c in string.ascii_uppercase}))
+    return [w.lower() for w in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text)]
 
 
 def template_rows(templates: dict[str, str]) -> list[tuple[int, str, Counter]]:
@@ -75,21 +75,29 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, threshol
     least, most = min(sum(c.values()) for *_, c in rows) * low, max(sum(c.values()) for *_, c in rows) * high
     literal = _literal(rows)
 
-    def unit(line: Column, number: Column) -> Column:
+    def with_count(line: Column, i: Column) -> Column:
         line = F.trim(line)
-        return F.struct(number.alias("unit"), line.alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))).alias("n"))
+        words = F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+        return F.struct((i + 1).alias("unit"), line.alias("line"), (words - 1).alias("n"))
 
-    def units(text: Column) -> Column:
-        lines = F.split(text, "\n")
-        whole = F.when(F.size(lines) > 1, F.array(unit(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(0)))).otherwise(F.array().cast("array<struct<unit:int,line:string,n:int>>"))
-        return F.concat(F.transform(lines, lambda x, i: unit(x, i + 1)), F.transform(whole, lambda u: u.withField("line", F.regexp_replace(u["line"], " +", " ")).withField("n", F.length(F.regexp_replace(u["line"], " +", " ")) - F.length(F.replace(u["line"], F.lit(" "), F.lit(""))))))
+    def with_whole(lines: Column) -> Column:
+        """Lines and, if there are several and its size allows, the whole text as unit 0."""
+        full = F.filter(lines, lambda x: x["n"] >= 0)
+        n = F.aggregate(full, F.lit(-1), lambda acc, x: acc + x["n"] + 1)
+        whole = F.struct(F.lit(0).alias("unit"), F.array_join(F.transform(full, lambda x: x["line"]), " ").alias("line"), n.alias("n"))
+        fits = (F.size(lines) > 1) & (n >= least) & (n <= most)
+        return F.when(fits, F.array_append(lines, whole)).otherwise(lines)
+
+    known = sorted({g for *_, c in rows for g in c})
 
     def with_grams(u: Column) -> Column:
         words = F.split(u["line"], " ")
-        return F.struct(u["unit"].alias("unit"), u["n"].alias("n"), F.zip_with(F.slice(words, 1, u["n"]), F.slice(words, 2, u["n"]), lambda a, b: F.concat(a, F.lit(" "), b)).alias("grams"))
+        grams = F.zip_with(F.slice(words, 1, u["n"]), F.slice(words, 2, u["n"]), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.struct(u["unit"].alias("unit"), u["n"].alias("n"), F.filter(grams, lambda g: g.isin(known)).alias("grams"))
 
     def compared(u: Column) -> Column:
-        fit = F.filter(literal, lambda t: F.lit(2.0) * F.least(u["n"], t["m"]) / (u["n"] + t["m"]) >= threshold)
+        most_common = lambda t: F.least(u["n"], t["m"], F.size(u["grams"]))
+        fit = F.filter(literal, lambda t: F.lit(2.0) * most_common(t) / (u["n"] + t["m"]) >= threshold)
 
         def match(t: Column) -> Column:
             common = F.aggregate(t["grams"], F.lit(0), lambda acc, g: acc + F.least(g["n"], F.size(F.filter(u["grams"], lambda x: x == g["g"]))))
@@ -97,9 +105,9 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, threshol
 
         return F.transform(fit, match)
 
-    lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    text = F.regexp_replace(lowered, _OTHER, " ")
-    chosen = F.transform(F.array(text), lambda t: F.filter(units(t), lambda u: (u["n"] >= least) & (u["n"] <= most)))[0]
+    text = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), _OTHER, " "))
+    lines = F.transform(F.array(F.transform(F.split(text, "\n"), with_count)), with_whole)[0]
+    chosen = F.filter(lines, lambda u: (u["n"] >= least) & (u["n"] <= most))
     matches = F.flatten(F.transform(F.transform(chosen, with_grams), compared))
     found = documents.withColumn("__m", F.filter(matches, lambda m: m["dice"] >= threshold))
     best = F.transform(F.array("__m"), lambda m: F.struct(F.array_max(m).alias("best"), F.size(m).alias("n")))[0]
@@ -117,7 +125,7 @@ def _sql() -> str:
     rows = ", ".join(f"({i}, '{name}', '{g}', {n})" for i, name, c in template_rows(TEMPLATES) for g, n in c.items())
     return f"""
     WITH docs AS (
-      SELECT row_number() OVER () AS r, doc_id, regexp_replace(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{_OTHER}', ' ', 'g') AS t FROM documents),
+      SELECT row_number() OVER () AS r, doc_id, lower(regexp_replace(coalesce(text, ''), '{_OTHER}', ' ', 'g')) AS t FROM documents),
     grams AS (SELECT * FROM (VALUES {rows}) AS v(i, name, g, k)),
     sizes AS (SELECT i, any_value(name) AS name, sum(k)::INT AS m FROM grams GROUP BY i),
     lines AS (SELECT r, string_split(t, chr(10)) AS ls, t FROM docs),
