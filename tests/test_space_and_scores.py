@@ -68,6 +68,14 @@ def test_kriging(spark):
     assert spatial.interpolate_kriging(p.withColumn("z", F.lit(None).cast("double")), g).first().value is None
 
 
+def test_kriging_with_a_fitted_variogram():
+    x, y, z = np.arange(1, 6.0), np.array([2, 3, 3, 5, 3.0]), np.array([1, 2, 3, 4, 3.0])
+    gx, gy = np.meshgrid(np.linspace(0, 6, 4), np.linspace(0, 6, 4))
+    value, _ = spatial.kriging_values(x, y, z, gx.ravel(), gy.ravel(), None, nlags=10)
+    want = [2.11825683, 2.14974322, 2.55817076, 2.54075673, 1.4905079, 1.70555872, 2.76440966, 2.5806816, 2.06495187, 2.60523688, 3.60004479, 2.90631718, 2.53986917, 2.93249053, 3.45374888, 2.90229311]
+    np.testing.assert_allclose(value, want, atol=1e-7)
+
+
 def test_coverage(spark):
     links = spark.createDataFrame([("a", 1.0, 1.0, 3.0, 2.0), ("b", 4.0, 4.0, 4.0, 4.0)], "cml_id string, site_a_lon double, site_a_lat double, site_b_lon double, site_b_lat double")
     g = grid_of(spark, np.arange(0, 5, 0.25), np.arange(0, 5, 0.25))
