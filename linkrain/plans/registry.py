@@ -353,59 +353,33 @@ def a1_waa_schleiss(spark, d):
     return baseline.waa_schleiss(baseline.baseline_constant(_t(spark, d))).select("event_id", _r("waa"))
 
 
-def _leijnse_sql(f_hz: float) -> str:
-    """Power ratio for one frequency: a sum of four exponentials of the film's thickness, with numbers worked out here."""
+def _leijnse_terms(f_hz: float) -> list[tuple[complex, complex]]:
+    """(c, k) of the four terms c exp(k l) whose sum's squared size is the power ratio for a film of thickness l."""
     n, thick, wave = 1.73 + 0.014j, 0.001, 2j * np.pi * f_hz / antenna.LIGHT
     water = complex(np.sqrt(antenna.permittivity_values(f_hz, 293.0)))
     dry = sum(t * (1 + t * n) ** 2 * np.exp(-t * wave * n * thick) for t in (1, -1))
-    re, im = [], []
-    for t in (1, -1):
-        for s in (1, -1):
-            c = complex((1 + s * water) * (water + s * t * n) * (n + t) * np.exp(-t * wave * n * thick) / (2 * water * dry))
-            k = complex(-s * wave * water)
-            size, turn = f"exp({k.real!r}::DOUBLE * l)", f"({k.imag!r}::DOUBLE * l)"
-            re.append(f"{size} * ({c.real!r}::DOUBLE * cos{turn} - {c.imag!r}::DOUBLE * sin{turn})")
-            im.append(f"{size} * ({c.real!r}::DOUBLE * sin{turn} + {c.imag!r}::DOUBLE * cos{turn})")
-    return f"10 * log10(pow({' + '.join(re)}, 2) + pow({' + '.join(im)}, 2))"
-
-
-@query(f"WITH {_O}, f AS (SELECT event_id, 2.06e-5::DOUBLE * pow(value / 10, 0.24) AS l FROM obs) SELECT event_id, round({_leijnse_sql(20e9)}, 6) AS waa FROM f")
-def a2_waa_leijnse(spark, d):
-    df = observations(spark, d).select("event_id", antenna.leijnse(F.col("value") / 10, F.lit(20e9)).alias("waa"))
-    return df.select("event_id", _r("waa"))
-
-
-def _attenuated(spark, d):
-    return observations(spark, d).join(links(spark, d).select("cml_id", "frequency_ghz", "polarization", "length_km"), "cml_id").withColumn("att", F.col("value") / 20)
-
+    return [(complex((1 + s * water) * (water + s * t * n) * (n + t) * np.exp(-t * wave * n * thick) / (2 * water * dry)), complex(-s * wave * water)) for t in (1, -1) for s in (1, -1)]
 
-@query()
-def a3_waa_leijnse_from_observed(spark, d):
-    w = antenna.leijnse_from_observed(F.col("att"), F.col("frequency_ghz") * 1e9, F.col("polarization"), F.col("length_km"))
-    return _attenuated(spark, d).select("event_id", w.alias("waa")).select("event_id", _r("waa"))
 
-
-@query(f"WITH {_O} SELECT event_id, round(14 * (1 - exp(-0.1 * pow(value / 10, 0.55))), 6) AS waa FROM obs")
-def a4_waa_pastorek(spark, d):
-    return observations(spark, d).select("event_id", antenna.pastorek(F.col("value") / 10).alias("waa")).select("event_id", _r("waa"))
+def _leijnse_sql(terms: list[tuple[str, str, str, str]]) -> str:
+    """WAA of a film l for terms given as SQL of real and imaginary parts."""
+    re = " + ".join(f"exp({kr} * l) * ({cr} * cos({ki} * l) - {ci} * sin({ki} * l))" for cr, ci, kr, ki in terms)
+    im = " + ".join(f"exp({kr} * l) * ({cr} * sin({ki} * l) + {ci} * cos({ki} * l))" for cr, ci, kr, ki in terms)
+    return f"10 * log10(pow({re}, 2) + pow({im}, 2))"
 
 
-@query()
-def a5_waa_pastorek_from_observed(spark, d):
-    w = antenna.pastorek_from_observed(F.col("att"), F.col("frequency_ghz") * 1e9, F.col("polarization"), F.col("length_km"))
-    return _attenuated(spark, d).select("event_id", w.alias("waa")).select("event_id", _r("waa"))
+def _numbers(f_hz: float) -> list[tuple[str, str, str, str]]:
+    return [tuple(f"{x!r}::DOUBLE" for x in (c.real, c.imag, k.real, k.imag)) for c, k in _leijnse_terms(f_hz)]
 
 
-_DEBYE = antenna._debye(293.0)
+@query(f"WITH {_O}, f AS (SELECT event_id, 2.06e-5::DOUBLE * pow(value / 10, 0.24) AS l FROM obs) SELECT event_id, round({_leijnse_sql(_numbers(20e9))}, 6) AS waa FROM f")
+def a2_waa_leijnse(spark, d):
+    df = observations(spark, d).select("event_id", antenna.leijnse(F.col("value") / 10, F.lit(20e9)).alias("waa"))
+    return df.select("event_id", _r("waa"))
 
 
-@query(
-    f"""WITH {_L}, p AS (SELECT cml_id, frequency_ghz AS f, {_DEBYE[0]!r}::DOUBLE AS e0, {_DEBYE[1]!r}::DOUBLE AS e1, {_DEBYE[2]!r}::DOUBLE AS e2, {_DEBYE[3]!r}::DOUBLE AS f1, {_DEBYE[4]!r}::DOUBLE AS f2 FROM links)
-    SELECT cml_id, round(e2 + (e1 - e2) / (1 + (f / f2) * (f / f2)) + (e0 - e1) / (1 + (f / f1) * (f / f1)), 6) AS re, round((e1 - e2) * (f / f2) / (1 + (f / f2) * (f / f2)) + (e0 - e1) * (f / f1) / (1 + (f / f1) * (f / f1)), 6) AS im FROM p"""
-)
-def a6_permittivity(spark, d):
-    re, im = antenna.permittivity(F.col("frequency_ghz") * 1e9)
-    return links(spark, d).select("cml_id", re.alias("re"), im.alias("im")).select("cml_id", _r("re"), _r("im"))
+def _attenuated(spark, d):
+    return observations(spark, d).join(links(spark, d).select("cml_id", "frequency_ghz", "polarization", "length_km"), "cml_id").withColumn("att", F.col("value") / 20)
 
 
 # --- attenuation and rain
@@ -477,6 +451,48 @@ def k7_nearby_rain(spark, d):
     return df.select("cml_id", "channel_id", hours().alias("hour"), r.alias("rain")).select("cml_id", "channel_id", "hour", _r("rain", 5))
 
 
+def _inverse_sql(waa: str, more: str = "") -> str:
+    """WAA by the table of 100 attenuations of each link: the last entry not above an observed value, and the next."""
+    return f"""WITH {_O}, {_AB}{more}, pt AS (SELECT k, CASE WHEN k = 0 THEN 0 ELSE pow(10, -10 + 13 * k / 99.0::DOUBLE) END AS ar FROM range(100) r(k)),
+    rn AS (SELECT pl.*, k, ar, pow(ar / (a * length_km), 1 / b) AS rain, 2.06e-5::DOUBLE * pow(pow(ar / (a * length_km), 1 / b), 0.24) AS l FROM pl, pt),
+    tb AS (SELECT cml_id, k, ar, CASE WHEN ar = 0 THEN 0 ELSE {waa} END AS w FROM rn{' JOIN ks USING (frequency_ghz)' if more else ''}),
+    tn AS (SELECT cml_id, ar + w AS total, w, lead(ar + w) OVER n AS t1, lead(w) OVER n AS w1 FROM tb WINDOW n AS (PARTITION BY cml_id ORDER BY k))
+    SELECT event_id, round(w + (w1 - w) * (value / 20 - total) / (t1 - total), 6) AS waa FROM obs ASOF JOIN tn ON obs.cml_id = tn.cml_id AND obs.value / 20 >= tn.total"""
+
+
+_NAMES = [tuple(f"{x}{i}" for x in ("cr", "ci", "kr", "ki")) for i in range(4)]
+_KS = ", ks AS (SELECT * FROM (VALUES " + ", ".join(f"({f}.0::DOUBLE, {', '.join(x for t in _numbers(f * 1e9) for x in t)})" for f in range(10, 30)) + f") AS v(frequency_ghz, {', '.join(x for t in _NAMES for x in t)}))"
+
+
+@query(_inverse_sql(_leijnse_sql(_NAMES), _KS))
+def a3_waa_leijnse_from_observed(spark, d):
+    w = antenna.leijnse_from_observed(F.col("att"), F.col("frequency_ghz") * 1e9, F.col("polarization"), F.col("length_km"))
+    return _attenuated(spark, d).select("event_id", w.alias("waa")).select("event_id", _r("waa"))
+
+
+@query(f"WITH {_O} SELECT event_id, round(14 * (1 - exp(-0.1 * pow(value / 10, 0.55))), 6) AS waa FROM obs")
+def a4_waa_pastorek(spark, d):
+    return observations(spark, d).select("event_id", antenna.pastorek(F.col("value") / 10).alias("waa")).select("event_id", _r("waa"))
+
+
+@query(_inverse_sql("14 * (1 - exp(-0.1 * pow(rain, 0.55)))"))
+def a5_waa_pastorek_from_observed(spark, d):
+    w = antenna.pastorek_from_observed(F.col("att"), F.col("frequency_ghz") * 1e9, F.col("polarization"), F.col("length_km"))
+    return _attenuated(spark, d).select("event_id", w.alias("waa")).select("event_id", _r("waa"))
+
+
+_DEBYE = antenna._debye(293.0)
+
+
+@query(
+    f"""WITH {_L}, p AS (SELECT cml_id, frequency_ghz AS f, {_DEBYE[0]!r}::DOUBLE AS e0, {_DEBYE[1]!r}::DOUBLE AS e1, {_DEBYE[2]!r}::DOUBLE AS e2, {_DEBYE[3]!r}::DOUBLE AS f1, {_DEBYE[4]!r}::DOUBLE AS f2 FROM links)
+    SELECT cml_id, round(e2 + (e1 - e2) / (1 + (f / f2) * (f / f2)) + (e0 - e1) / (1 + (f / f1) * (f / f1)), 6) AS re, round((e1 - e2) * (f / f2) / (1 + (f / f2) * (f / f2)) + (e0 - e1) * (f / f1) / (1 + (f / f1) * (f / f1)), 6) AS im FROM p"""
+)
+def a6_permittivity(spark, d):
+    re, im = antenna.permittivity(F.col("frequency_ghz") * 1e9)
+    return links(spark, d).select("cml_id", re.alias("re"), im.alias("im")).select("cml_id", _r("re"), _r("im"))
+
+
 # --- blackout gaps
 
 _MARKS = f"""n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY cml_id, channel_id) AS n FROM obs {_W}),

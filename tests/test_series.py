@@ -125,23 +125,16 @@ def test_blackout(spark):
     df = frame(spark, [[(None if v is None else float(v),) for v in d] for d in data], "cml_id string, channel_id string, time int, rsl double").cache()
     got = blackout.blackout_mask(df, -65)
     hit = [np.flatnonzero(column(got, "blackout", s)).tolist() for s in range(3)]
-    assert hit == [[9], [0, 9], [9, 11]] or hit[0] == [9] and hit[1] == [0, 9]
+    assert hit == [[9], [0, 9], [9]]
     marks = blackout.gap_markers(df, -65)
     forward = blackout.mask_from_markers(marks)
     assert np.flatnonzero(column(forward, "blackout", 0)).tolist() == [9]
 
 
-def nearby_links(spark):
-    rows = [("id0", 0.0, 0.0, 0.005, 0.01), ("id1", 0.0, 0.01, 0.02, 0.02), ("id2", 0.0, 0.02, 0.0, 0.03), ("id3", 0.0, 0.5, 0.512, 0.51)]
-    return spark.createDataFrame([(i, float(a), b, c, d) for i, b, a, c, d in [(r[0], r[2], r[1], r[3], r[4]) for r in rows]], "cml_id string, site_a_lat double, site_a_lon double, site_b_lat double, site_b_lon double")
-
-
 def test_distances(spark):
-    lon = [0.0, 0.01, 0.02, 0.5]
     links = spark.createDataFrame([(f"id{i}", x, x, 0.0, 0.0) for i, x in enumerate([0.0, 0.01, 0.02, 0.5])], "cml_id string, site_a_lat double, site_a_lon double, site_b_lat double, site_b_lon double")
     d = {(r.cml_id1, r.cml_id2): r.aa for r in nearby.endpoint_distances(links).collect()}
     np.testing.assert_allclose([d["id0", "id1"], d["id0", "id2"], d["id0", "id3"], d["id1", "id3"], d["id2", "id3"], d["id0", "id0"]], [1.57154642, 3.14309282, 78.57682262, 77.0052762, 75.4337298, 0], atol=1e-5)
-    assert len(lon) == 4
 
 
 @pytest.mark.parametrize("centre", [(7.0, 50.0), (179.95, 10.0), (0.0, 88.0)])
