@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,9 +41,22 @@ def _published(name: str, f: np.ndarray) -> np.ndarray:
     return np.array([round(float(v), int(p)) for v, p in zip(k, places)])
 
 
-@functools.lru_cache
+#: Tables and splines that were made already; plain dicts, so that functions which use them can be sent to workers.
+_MADE: dict = {}
+
+
+def _once(*key, make):
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def table(name: str) -> dict[str, np.ndarray]:
     """Frequencies and coefficients of a table: f, k_H, k_V, alpha_H, alpha_V."""
+    return _once(name, make=lambda: _table(name))
+
+
+def _table(name: str) -> dict[str, np.ndarray]:
     if name == "ITU_2003":
         return {k: np.array(v, float) for k, v in TABLE_2003.items()}
     if name == "ITU_2005":
@@ -57,9 +68,12 @@ def table(name: str) -> dict[str, np.ndarray]:
     raise ValueError(f"table {name} is not available; ITU_2003 and ITU_2005 are")
 
 
-@functools.lru_cache
 def spline(name: str, column: str) -> np.ndarray:
     """Cubic spline without knots at the second and last but one node: rows of (c0, c1, c2, c3) for each interval."""
+    return _once(name, column, make=lambda: _spline(name, column))
+
+
+def _spline(name: str, column: str) -> np.ndarray:
     x, y = table(name)["f"], table(name)[column]
     n, h = len(x), np.diff(x)
     s = np.diff(y) / h

@@ -194,3 +194,23 @@ def test_streams(spark, tmp_path):
     out = drained(levels.baseline_stream(read()), "base").sort_values("time")
     want = np.where((np.arange(120) >= 30) & (np.arange(120) < 60), 29.0, np.arange(120.0))
     np.testing.assert_allclose(out.baseline, want)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Queries that run Python in workers, from a folder in which the package can't be found."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+from linkrain.plans.registry import QUERIES
+for q in ("a3_waa_leijnse_from_observed", "a5_waa_pastorek_from_observed", "b1_baseline_constant_n5", "p6_kriging", "t3_apply_along_time", "w4_stft_wet", "w7_mlp_wet_dry", "w8_cnn_trailing", "w9_cnn_centred"):
+    assert QUERIES[q](spark, "/root/testdata/sf0.001").count() > 0, q
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr[-2000:]
