@@ -424,7 +424,10 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), le
     """
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(24, -(-size // bucket_bytes))
-    keyed = documents.select(F.struct(*keep).alias("row"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("did"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
+    keyed = documents.select(F.struct(*keep).alias("row"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("did"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    # texts' hashes tell rows of one id apart; they are not sent where all ids differ
+    repeated = not keyed.groupBy("did").count().where("count > 1").isEmpty()
+    keyed = keyed.withColumn("th", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
