@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkrain.llm.common import column, slices
@@ -197,14 +197,12 @@ def learn(documents: DataFrame, rows: int = TRAIN_ROWS, most: int = GRAMS) -> Mo
     by: dict[str, dict[str, int]] = defaultdict(dict)
     scripts: dict[str, Counter] = defaultdict(Counter)
     langs = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(1000).collect()]
-    sums = sums.cache()
-    for la in langs:
-        for r in sums.where(F.col("lang") == la).orderBy(F.desc("n"), "gram").limit(most).collect():
-            if r["gram"][0] == "#":
-                scripts[la][r["gram"][1:]] = r["n"]
-            else:
-                by[la][r["gram"]] = r["n"]
-    sums.unpersist()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    for r in sums.withColumn("place", place).where(F.col("place") <= most).collect():
+        if r["gram"][0] == "#":
+            scripts[r["lang"]][r["gram"][1:]] = r["n"]
+        else:
+            by[r["lang"]][r["gram"]] = r["n"]
     return Model({la: by[la] for la in langs}, scripts)
 
 
