@@ -379,7 +379,9 @@ def a2_waa_leijnse(spark, d):
 
 
 def _attenuated(spark, d):
-    return observations(spark, d).join(links(spark, d).select("cml_id", "frequency_ghz", "polarization", "length_km"), "cml_id").withColumn("att", F.col("value") / 20)
+    """Rows with a link's parameters; coefficients of the power law are worked out once for each link."""
+    about = flows.with_power_law(links(spark, d)).select("cml_id", "frequency_ghz", "polarization", "length_km", "a", "b")
+    return observations(spark, d).join(about, "cml_id").withColumn("att", F.col("value") / 20)
 
 
 # --- attenuation and rain
@@ -406,14 +408,14 @@ def _rate(att: str, a: str = "a") -> str:
 @query(f"WITH {_O}, {_AB} SELECT event_id, round({_rate('(-rsl - 42)')}, 6) AS rain FROM obs JOIN pl USING (cml_id)")
 def k3_rain_rate(spark, d):
     df = _attenuated(spark, d)
-    r = powerlaw.rain_rate(-F.col("rsl") - 42, F.col("length_km"), F.col("frequency_ghz"), F.col("polarization"))
+    r = powerlaw.rain_rate(-F.col("rsl") - 42, F.col("length_km"), a=F.col("a"), b=F.col("b"))
     return df.select("event_id", r.alias("rain")).select("event_id", _r("rain"))
 
 
 @query(f"WITH {_O}, {_AB} SELECT event_id, round({_rate('(-rsl - 42)', f'(a * pow({float(np.log(90) + powerlaw.EULER_GAMMA)!r}::DOUBLE, b))')}, 6) AS rain FROM obs JOIN pl USING (cml_id)")
 def k4_rain_rate_min_max(spark, d):
     df = _attenuated(spark, d)
-    r = powerlaw.rain_rate_min_max(-F.col("rsl") - 42, F.col("length_km"), F.col("frequency_ghz"), F.col("polarization"))
+    r = powerlaw.rain_rate_min_max(-F.col("rsl") - 42, F.col("length_km"), a=F.col("a"), b=F.col("b"))
     return df.select("event_id", r.alias("rain")).select("event_id", _r("rain"))
 
 
@@ -446,8 +448,8 @@ def _alpha(f: str | None) -> str:
 @query(f"WITH {_LV}, {_PREF}, {_CORRECTED}, {_AB} SELECT cml_id, channel_id, hour, round({_alpha('pmin + 30')}, 5) AS rain FROM co JOIN pl USING (cml_id)")
 def k7_nearby_rain(spark, d):
     lo, hi = nearby.corrected_levels(F.col("pmin"), F.col("pmax"), F.col("wet"), F.col("pref"))
-    df = _pref(spark, d).join(links(spark, d), "cml_id")
-    r = nearby.nearby_rain(F.col("pref"), lo, hi, F.col("pmin") + 30, F.col("length_km"), F.col("frequency_ghz"), F.col("polarization"))
+    df = _pref(spark, d).join(flows.with_power_law(links(spark, d)), "cml_id")
+    r = nearby.nearby_rain(F.col("pref"), lo, hi, F.col("pmin") + 30, F.col("length_km"), a=F.col("a"), b=F.col("b"))
     return df.select("cml_id", "channel_id", hours().alias("hour"), r.alias("rain")).select("cml_id", "channel_id", "hour", _r("rain", 5))
 
 
