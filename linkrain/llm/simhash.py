@@ -252,10 +252,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _keys(fps: DataFrame, splits: list[tuple[int, list[int]]], held: Column) -> DataFrame:
-    """Rows (mask, key, fp): for each (mask of new bits, flips), key is a hash of the bits of mask and held."""
+def _keys(fps: DataFrame, splits: list[tuple[int, list[int]]], held: Column, centre: Column) -> DataFrame:
+    """Rows (mask, key, fp): for each (mask of new bits, flips), key is a hash of the centre and of the new bits.
+
+    The centre stands for the group so far; its members can differ in held bits, where probes flipped some.
+    """
     rows = [
-        F.struct(held.bitwiseOR(F.lit(_signed(mask))).alias("mask"), F.xxhash64(held.bitwiseOR(F.lit(_signed(mask))), F.col("fp").bitwiseXOR(F.lit(_signed(flip))).bitwiseAND(held.bitwiseOR(F.lit(_signed(mask))))).alias("key"))
+        F.struct(held.bitwiseOR(F.lit(_signed(mask))).alias("mask"), F.xxhash64(held.bitwiseOR(F.lit(_signed(mask))), centre, F.col("fp").bitwiseXOR(F.lit(_signed(flip))).bitwiseAND(F.lit(_signed(mask)))).alias("key"))
         for mask, flips in splits
         for flip in flips
     ]
@@ -266,20 +269,21 @@ def near_links(fps: DataFrame, k: int = 2, sample: int = SAMPLE, group: int = GR
     """Links (a, b), a != b, that join all of the distinct fingerprints fp which are within k bits over any path."""
     seen = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
     probed = plan(seen, fps.count(), k)
-    rows = checkpoint(_keys(fps, [(mask_of(b), probes_of(b, t)) for b, t in probed], F.lit(0).cast("long")))
+    rows = checkpoint(_keys(fps, [(mask_of(b), probes_of(b, t)) for b, t in probed], F.lit(0).cast("long"), F.lit(0).cast("long")))
     links = []
     while True:
-        hot = rows.groupBy("mask", "key").count().where(F.col("count") > group).select("mask", "key")
+        # with no bit left, members differ by the flips alone, so they are few
+        hot = rows.where("mask != -1").groupBy("mask", "key").count().where(F.col("count") > group).select("mask", "key")
         hot = checkpoint(hot)
         if hot.isEmpty():
             return _union([*links, _linked(rows, k)]).where("a != b").distinct()
         links.append(_linked(rows.join(hot, ["mask", "key"], "left_anti"), k))
-        again = rows.join(hot, ["mask", "key"]).select("mask", "fp").distinct()
+        again = rows.join(hot, ["mask", "key"])
         parts = []
         for (mask,) in hot.select("mask").distinct().collect():  # as many as there are sets of bits
             left = [i for i in range(BITS) if not mask & 0xFFFFFFFFFFFFFFFF & (1 << i)]
             splits = [(mask_of(left[p :: k + 1]), [0]) for p in range(k + 1)] if len(left) > k + 1 else [(mask_of(left), probes_of(left, k))]
-            parts.append(_keys(again.where(F.col("mask") == mask), splits, F.lit(mask).cast("long")))
+            parts.append(_keys(again.where(F.col("mask") == mask), splits, F.lit(mask).cast("long"), F.col("key")))
         rows = checkpoint(_union(parts))
 
 

@@ -207,6 +207,22 @@ def test_links_lose_none(spark, group):
     assert classes(lambda x: got.get(x, x)) == classes(root.get)
 
 
+def test_links_through_a_flip_outlive_dealing_anew(spark, monkeypatch):
+    # the second pair of a massive half meets only by a flip in it, and every key within a bit is hot
+    halves = [[*range(32)], [*range(32, 64)]]
+    monkeypatch.setattr(simhash, "plan", lambda *_: [(halves[0], 1), (halves[1], 0)])
+    rng = random.Random(12)
+    fps = {x << 32 | low for low in (5, 4, 7) for x in rng.sample(range(1 << 32), 40)}
+    pairs = [(x << 32 | 5, (x ^ 1 << 9) << 32 | 4) for x in rng.sample(range(1 << 32), 10)]
+    fps |= {x for pair in pairs for x in pair}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    got = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.near_links(df, 2, group=20)).collect()}
+    root = plain_components(list(fps), 2)
+    classes = lambda of: sorted(sorted(x for x in fps if of(x) == r) for r in {of(x) for x in fps})
+    assert classes(lambda x: got.get(x, x)) == classes(root.get)
+    assert all(got.get(a, a) == got.get(b, b) for a, b in pairs)
+
+
 def test_thresholds_cover_and_are_cheapest():
     rng = np.random.default_rng(0)
     cost = rng.uniform(0, 10, (4, 4))
