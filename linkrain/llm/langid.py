@@ -2,8 +2,9 @@
 
 Every word (a run of letters) has a log-likelihood under the character n-grams of each learned language;
 languages that are not written in the word's script are ruled out. The best sequence of languages, where a
-switch costs a penalty, gives spans. A text whose best sequence has no switch is recognised exactly and
-without the dynamic program: no stretch of it may gain more than the penalty from another language.
+switch costs a penalty, gives spans. A text of which no stretch can pay for its switches by another language
+has no switch and is labelled without the dynamic program. Each end of a stretch inside of the text is charged
+half a switch: a stretch must gain less than the penalty, and one at either end of the text less than half.
 """
 
 from __future__ import annotations
@@ -107,7 +108,8 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     best = int(np.argmax(scores.sum(axis=0)))
     sums = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), sums[:-1]]), axis=0)
-    if ((sums - low).max() < penalty) and np.count_nonzero(scores.sum(axis=0) == scores.sum(axis=0)[best]) == 1:
+    ends = max(sums.max(), (sums[-1] - low).max())
+    if (sums - low).max() < penalty and ends < penalty / 2 and np.count_nonzero(scores.sum(axis=0) == scores.sum(axis=0)[best]) == 1:
         return np.full(n, best)
     back = np.zeros((n, k), np.int32)
     own = [*range(k)]

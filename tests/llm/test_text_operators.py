@@ -335,6 +335,17 @@ def test_viterbi_is_the_best_path():
 # --- licences
 
 
+def test_viterbi_of_two_halves_without_the_best_total():
+    s = np.array([[10.0, -15.0, 0.0], [-15.0, 10.0, 0.0]])
+    assert langid.viterbi(s, 12.0).tolist() == [0, 1]
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, p = int(rng.integers(1, 6)), 12.0
+        s = rng.integers(-9, 10, (n, 3)).astype(float)
+        value = lambda path: sum(s[i, x] for i, x in enumerate(path)) - p * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        assert value(langid.viterbi(s, p).tolist()) == max(map(value, np.ndindex(*[3] * n)))
+
+
 def plain_scan(text, templates, threshold):
     words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", lower(t))
     lines = (text or "").split("\n")
