@@ -168,6 +168,11 @@ def test_quality(spark):
     assert quality.score(df.limit(0), model).count() == 0
 
 
+def test_digits_of_the_whole_text_count():
+    table = "abc 12345\n" * 2000  # as wide as a stride of 10 steps
+    assert quality.text_features(table)[5] == pytest.approx(0.5 * 5)
+
+
 # --- pipeline
 
 
