@@ -59,17 +59,17 @@ def fingerprints(texts: list[bytes | None], size: int = 3) -> np.ndarray:
     return out
 
 
-def with_fingerprint(documents: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
-    kept = documents.select("doc_id", F.col("text").cast("binary").alias("__text"))
+def with_fingerprint(documents: DataFrame, size: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep and fp (the fingerprint as a signed long) of every row."""
+    kept = documents.select(*keep, F.col("text").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text", 2 << 20):
                 fp = fingerprints(column(batch, "__text").to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*keep, "fp"])
 
-    return kept.mapInArrow(run, kept.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return kept.mapInArrow(run, kept.select(*keep, F.lit(0).cast("long").alias("fp")).schema)
 
 
 # --- partitions and thresholds
@@ -316,6 +316,12 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _rooted(first: DataFrame, k: int) -> DataFrame:
+    """Rows (fp, low) of distinct fp with root, the smallest fingerprint of the component."""
+    roots = components(near_links(first.select("fp"), k))
+    return first.join(roots, first.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, k: int = 2, size: int = 3) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that is reachable, for every row of documents.
 
@@ -325,16 +331,22 @@ def near_duplicates(documents: DataFrame, k: int = 2, size: int = 3) -> DataFram
     """
     marked = checkpoint(with_fingerprint(documents, size))
     first = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(near_links(first.select("fp"), k))
-    rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(first, k)
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return marked.join(checkpoint(rooted.join(named, "root").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(documents: DataFrame, k: int = 2, size: int = 3) -> DataFrame:
-    """The documents that are the first of their component; of repeated rows of one id, one; all rows of null ids."""
-    found = near_duplicates(documents, k, size).where("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(found, "doc_id").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__n = 1").drop("__n")
+    """Of each component one document, the first by (doc_id, hash of text); all rows of null ids.
+
+    An id whose rows hold texts of several components can stand for each of them, with the text of each.
+    """
+    named = documents.where("doc_id is not null").withColumn("__h", F.xxhash64("text"))
+    marked = with_fingerprint(documents.select("doc_id", "text", F.xxhash64("text").alias("h")), size, ("doc_id", "h"))
+    lowest = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h")))
+    rooted = _rooted(checkpoint(marked.groupBy("fp").agg(lowest.alias("low"))), k)
+    found = rooted.groupBy("root").agg(F.min("low").alias("low")).where("low is not null").select("low.doc_id", F.col("low.h").alias("__h"))
+    kept = named.join(found, ["doc_id", "__h"]).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("doc_id"))).where("__n = 1")
     return kept.select(*documents.columns).unionByName(documents.where("doc_id is null"))
 
 

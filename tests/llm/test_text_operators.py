@@ -189,6 +189,13 @@ def test_near_duplicates(spark):
     assert sorted(ids) == sorted({x for x in low.values() if x is not None}) and sum(r.doc_id is None for r in kept) == 1
 
 
+def test_each_component_keeps_a_document_where_ids_repeat(spark):
+    a, b, c, d = prose(random.Random(13), 4)
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, c), (2, d), (None, c)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(0, a), (1, b), (2, c), (2, d), (None, c)]))
+
+
 @pytest.mark.parametrize("group", [100_000, 6])
 def test_links_lose_none(spark, group):
     rng = random.Random(5)
