@@ -68,6 +68,21 @@ def test_kriging(spark):
     assert spatial.interpolate_kriging(p.withColumn("z", F.lit(None).cast("double")), g).first().value is None
 
 
+def test_the_kriging_query_uses_all_points(spark, tmp_path):
+    from linkrain.plans import registry
+
+    rng = np.random.default_rng(8)
+    v = rng.uniform(-0.2, 0.2, (260, 3)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.yi, r.xi, r.time): r.value for r in registry.QUERIES["p6_kriging"](spark, str(tmp_path)).collect()}
+    ids = np.arange(260)
+    for time in (0, 1):
+        x, y, z = v[(ids % 2 == time) & (ids % 11 != 0)].astype(float).T
+        cells = registry._grid(spark).collect()
+        want, _ = spatial.kriging_values(x, y, z, np.array([c.x for c in cells]), np.array([c.y for c in cells]), {"sill": 0.02, "range": 0.3, "nugget": 0.002})
+        np.testing.assert_allclose([got[c.yi, c.xi, time] for c in cells], want, atol=2e-6)
+
+
 def test_kriging_with_a_fitted_variogram():
     x, y, z = np.arange(1, 6.0), np.array([2, 3, 3, 5, 3.0]), np.array([1, 2, 3, 4, 3.0])
     gx, gy = np.meshgrid(np.linspace(0, 6, 4), np.linspace(0, 6, 4))
