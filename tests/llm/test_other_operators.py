@@ -1,8 +1,11 @@
 """URL lists, top-k, toxicity, quality, and the pipeline."""
 
 import datetime
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,44 +105,115 @@ def labelled(rng, n=1500):
     return docs, labels
 
 
+def plain_toxicity(docs, labels):
+    """Scores by dense vectors over all words of the examples: the operator's rules, without an index."""
+    known = {}
+    for i, y in labels:
+        if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1:
+            known[i] = max(y, known.get(i, 0))
+    counts = [(i, Counter(re.findall(r"\w+", (t or "").lower()))) for i, t in docs]
+    own = sorted(((i, known[i], c) for i, c in counts if i in known), key=lambda e: (e[0] * 0x9E3779B97F4A7C15 % (1 << 64), e[1], sorted(e[2].items())))
+    aside = [e for y in (0, 1) for e in [x for x in own if x[1] == y][toxicity.ASIDE - 1 :: toxicity.ASIDE]]
+    examples = sorted((e for e in own if not any(e is x for x in aside)), key=lambda e: e[:2])
+    words = sorted({w for *_, c in examples for w in c})
+    n = [sum(y == label for _, y, _ in examples) for label in (0, 1)]
+    weight = []
+    for w in words:
+        o = [sum(w in c for _, y, c in examples if y == label) for label in (0, 1)]
+        table = [[o[0], n[0] - o[0]], [o[1], n[1] - o[1]]]
+        g = sum(2 * x * math.log(x * sum(n) / (sum(table[i]) * (table[0][j] + table[1][j]))) for i in (0, 1) for j in (0, 1) if (x := table[i][j]))
+        weight.append(math.log((1 + len(docs)) / sum(w in c for _, c in counts)) * (0.2 + math.sqrt(max(0, g - 8))))
+
+    def unit(c):
+        v = np.array([(1 + math.log(c[w])) * x if w in c else 0.0 for w, x in zip(words, weight)])
+        return v / np.linalg.norm(v) if v.any() else v
+
+    dense = np.array([unit(c) for *_, c in examples])
+    prior = (sum(known.values()) + 1) / (len(known) + 2)
+    stands = [sum(y == label for y in known.values()) / max(1, sum(e[1] == label for e in own)) for label in (0, 1)]
+
+    def vote(c):
+        cos = np.round(dense @ unit(c), 9)
+        near = [i for i in sorted(range(len(cos)), key=lambda i: (-cos[i], i)) if cos[i] > 0][: toxicity.NEIGHBOURS]
+        v = [0.05 * (1 - prior), 0.05 * prior]
+        for i in near:
+            v[examples[i][1]] += stands[examples[i][1]] * cos[i] / (1.02 - cos[i])
+        return v[1] / sum(v), [(examples[i][0], cos[i]) for i in near]
+
+    pairs = sorted((vote(c)[0], y, stands[y]) for _, y, c in aside if vote(c)[1])
+    level = [max(min(sum(w * y for _, y, w in pairs[i : j + 1]) / sum(w for *_, w in pairs[i : j + 1]) for j in range(b, len(pairs))) for i in range(b + 1)) for b in range(len(pairs))]
+    pools = {}
+    for (v, _, w), p in zip(pairs, level):
+        pools.setdefault(round(p, 12), []).append((v, w))
+    at = sorted((sum(v * w for v, w in vs) / sum(w for _, w in vs), p) for p, vs in pools.items())
+    return [(i, float(np.interp(vote(c)[0], *zip(*at))) if vote(c)[1] else prior, vote(c)[1]) for i, c in counts]
+
+
+def test_toxicity_is_the_plain_one(spark):
+    docs, labels = labelled(random.Random(8), 400)
+    docs += [(7001, None), (7002, "unheard zork"), (7003, docs[4][1]), (5, docs[6][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = toxicity.score(df, toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    want = plain_toxicity(docs, labels)
+    key = lambda r: (r[0], round(r[1], 6))
+    got, want = sorted(((r.doc_id, r.score, r.evidence) for r in got), key=key), sorted(want, key=key)
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-7)
+        assert [e.similarity for e in g[2]] == pytest.approx([x for _, x in w[2][:3]], abs=1e-8)
+
+
 def test_toxicity(spark):
     docs, labels = labelled(random.Random(3))
-    odd = [(5000, None), (5001, ""), (None, "zork zork"), (5002, "zork " * 5000), (0, docs[0][1])]
+    odd = [(5000, None), (5001, ""), (None, "zork zork"), (5002, "zork " * 50_000), (0, docs[0][1]), (5003, "!?")]
     df = spark.createDataFrame([*docs, *odd], "doc_id long, text string")
     ls = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
     index = toxicity.learn(df, ls)
-    assert {"zork", "blarg", "quux"} <= set(index.idf)
+    assert {"zork", "blarg", "quux"} <= set(index.words) and len(index.words) == 303
     got = toxicity.score(df, index).collect()
     assert len(got) == len(docs) + len(odd) and all(0 <= r.score <= 1 for r in got)
     held = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1}
     right = [r.predicted == held[r.doc_id] for r in got if r.doc_id in held]
     assert sum(right) / len(right) > 0.97
     by = {r.doc_id: r for r in got}
-    assert by[None].predicted == 1 and by[5002].predicted == 1 and by[5000].predicted == 0 and by[5000].evidence == [] and by[None].evidence
+    assert by[None].predicted == 1 and by[5002].predicted == 1 and by[None].evidence
+    assert all(by[i].score == index.prior and by[i].evidence == [] for i in (5000, 5001, 5003))
+    assert all(r.evidence for r in got if r.doc_id is not None and r.doc_id < 5000)
     none = toxicity.learn(df, ls.limit(0))
     assert {r.score for r in toxicity.score(df, none).collect()} == {0.5}
     assert toxicity.score(df.limit(0), index).count() == 0
+    one = toxicity.learn(df, ls.where("toxic = 1"))
+    assert all(r.score > 0.5 for r in toxicity.score(df, one).collect())
 
 
-def test_blocks_give_the_exact_neighbours():
+@pytest.mark.parametrize("frequent, block", [(384, 128), (8, 16), (0, 7)])
+def test_blocks_give_the_exact_neighbours(monkeypatch, frequent, block):
+    monkeypatch.setattr(toxicity, "_FREQUENT", frequent)
     rng = random.Random(4)
-    names = [f"t{i}" for i in range(40)]
-    examples = [(i, rng.randint(0, 1), {t: rng.randint(1, 4) for t in rng.sample(names, rng.randint(0, 6))}) for i in range(900)]
-    index = toxicity.Index({t: rng.uniform(1, 5) for t in names}, examples)
-    keys = sorted(index.entries, key=index.entries.get)
-    dense = np.zeros((len(keys), len(names)))
-    for i, k in enumerate(keys):
-        for t, w in k:
-            dense[i, t] = w
-    for _, _, c in examples[:100]:
-        key = index.vector(c)
-        got = index.nearest(key)
-        if key:
-            s = np.round(dense @ dense[index.entries[key]], 9)
-            want = sorted(((-x, i) for i, x in enumerate(s) if x > 0))[: toxicity.NEIGHBOURS]
-            assert np.allclose([x for x, _ in got], [-x for x, _ in want])
-        else:
-            assert got == []
+    names = [f"t{i}" for i in range(60)]
+    examples = [(i, rng.randint(0, 1), {t: rng.randint(1, 4) for t in rng.sample(names, rng.randint(0, 9))}) for i in range(900)]
+    examples += [(i + 2000, 0, examples[i][2]) for i in range(60)]
+    index = toxicity.Index({t: rng.uniform(1, 5) ** 2 for t in names}, examples, block=block)
+    dense = np.zeros((len(index.ids), len(names)))
+    for i, n in enumerate(index.ends):
+        at = slice(n - index.lengths[i], n)
+        dense[i, index.own[at]] = index.own_weight[at]
+    queries = [*(c for *_, c in examples[:150]), {"other": 1}, {}]
+    for c, got in zip(queries, index.nearest(queries), strict=True):
+        ids, q = index.vector(c)
+        s = np.round(dense[:, ids] @ q, 9) if len(ids) else np.zeros(len(dense))
+        want = sorted((-x, index.ids[i]) for i, x in enumerate(s) if x > 0)[: toxicity.NEIGHBOURS]
+        assert [x for x, _ in got] == pytest.approx([-x for x, _ in want], abs=1e-8)
+        assert len({index.ids[i] for _, i in got}) == len(got)
+
+
+def test_blocks_that_cannot_reach_the_kth_are_skipped():
+    rng = random.Random(9)
+    topics = [[f"{t}{i}" for i in range(30)] for t in "abcd"]
+    examples = [(i, i % 2, dict.fromkeys(rng.sample(topics[i % 4], 12), 1)) for i in range(400)]
+    index = toxicity.Index(dict.fromkeys([w for t in topics for w in t], 1.0), examples, block=20)
+    near = index.nearest([dict.fromkeys(rng.sample(topics[1], 12), 1) for _ in range(5)])
+    assert all(len(x) == toxicity.NEIGHBOURS and all(index.ids[i] % 4 == 1 for _, i in x) for x in near)
+    assert index.opened[0] <= index.opened[1] / 2
 
 
 # --- quality
