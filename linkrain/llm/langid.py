@@ -16,15 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkrain.llm.common import column, slices
 
 #: Labelled rows of each language, about, that the n-gram counts are learned from (chosen by hash of the id).
 TRAIN_ROWS = 600
-#: N-grams of a language that are kept, the most frequent.
-GRAMS = 30_000
 PENALTY = 12.0
 ORDERS = (2, 3)
 REMEMBERED = 300_000
@@ -169,17 +167,18 @@ class Labeller:
         return langs[best], min(1.0, max(0.0, sure)), [(langs[path[a]], a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def learn(documents: DataFrame, rows: int = TRAIN_ROWS, most: int = GRAMS) -> Model:
+def learn(documents: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns n-gram counts from about rows labelled texts of each language, all of a language that has fewer.
 
     Rows whose lang or doc_id is null, and those held out (crc32 of the id divisible by 5), are not learned
-    from. The counts are made on the executors; of each language the most frequent n-grams come to the driver.
+    from. The counts are made on the executors; what comes to the driver is the model, whose size the sample bounds.
     """
     known = _known(documents)
     counts = known.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("count"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    texts = known.join(F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(1000)), "lang").where(place < share).select("lang", F.col("text").cast("binary").alias("__text"))
+    # a number for each language, as the model has
+    texts = known.join(F.broadcast(counts), "lang").where(place < share).select("lang", F.col("text").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -198,9 +197,8 @@ def learn(documents: DataFrame, rows: int = TRAIN_ROWS, most: int = GRAMS) -> Mo
     sums = texts.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by: dict[str, dict[str, int]] = defaultdict(dict)
     scripts: dict[str, Counter] = defaultdict(Counter)
-    langs = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(1000).collect()]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    for r in sums.withColumn("place", place).where(F.col("place") <= most).collect():
+    langs = [r["lang"] for r in counts.collect()]
+    for r in sums.toLocalIterator():
         if r["gram"][0] == "#":
             scripts[r["lang"]][r["gram"][1:]] = r["n"]
         else:
@@ -212,7 +210,8 @@ def identify(documents: DataFrame, model: Model, penalty: float = PENALTY) -> Da
     """All columns of documents and lang_pred, lang_score, lang_spans (array of lang, first word, number of words).
 
     Cases: a null or empty text, or one without a letter, is "und" with score 0 and no spans; with no language
-    learned all texts are; equal letters go to the language first by name; repeated rows are labelled each.
+    learned all texts are; equal letters go to the language first by name; repeated rows are labelled each;
+    of a long text the words and their scores are in memory at once.
     Columns with the names of new ones are replaced.
     """
     spans = "array<struct<lang: string, first: int, words: int>>"

@@ -15,22 +15,34 @@ from pyspark.sql import functions as F
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, since, until) in which a key is listed; until is null while it is.
 
-    entries: list, key, action ("add" or "remove"), listed_on (date). Entries with a null are ignored; several
-    entries of one date count as one, a removal if any of them is. So a key has a row for a date at most.
+    entries: list, key, action ("add" or "remove"), listed_on (date). Entries with a null are ignored; keys are
+    the same whatever their case; several entries of one date count as one, a removal if any of them is. So a
+    key has a row for a date at most.
     """
     dated = entries.where("list is not null and key is not null and listed_on is not null and action in ('add', 'remove')")
+    dated = dated.withColumn("key", F.lower("key"))
     dated = dated.groupBy("list", "key", "listed_on").agg(F.max("action").alias("action"))
     w = Window.partitionBy("list", "key").orderBy("listed_on")
     changes = dated.withColumn("before", F.lag("action").over(w)).where("before is null or before != action")
     spans = changes.withColumn("until", F.lead("listed_on").over(w)).where("action = 'add'")
-    return spans.select("list", F.lower("key").alias("key"), F.col("listed_on").alias("since"), "until")
+    return spans.select("list", "key", F.col("listed_on").alias("since"), "until")
+
+
+#: Blanks and controls around a URL; what comes before the host; the host after a user's name; the path. A backslash is a slash.
+_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_BEFORE = r"^(https?:[/\\]*|[a-z][a-z0-9+.-]*:[/\\]{2,}|[/\\]{2,})"
+_HOST = r"^(?:[^/?#\\]*@)?([^/?#\\:@]*)"
+_PATH = r"^[^/?#\\]*([/\\][^?#]*)?"
 
 
 def url_keys(url):
-    """Keys that an entry may have for a URL: host and path, the host and its parent domains of two labels or more."""
-    bare = F.lower(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""))
-    host = F.regexp_extract(bare, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    path = F.regexp_extract(bare, r"^[^/?#]*(/[^?#]*)?", 1)
+    """Keys that an entry may have for a URL: host and path, the host and its parent domains of two labels or more.
+
+    Letters are lower case and a host has no dot at its end. Escapes and international names are as written.
+    """
+    bare = F.regexp_replace(F.lower(F.regexp_replace(url, _EDGES, "")), _BEFORE, "")
+    host = F.regexp_replace(F.regexp_extract(bare, _HOST, 1), r"[.]+$", "")
+    path = F.replace(F.regexp_extract(bare, _PATH, 1), F.lit("\\"), F.lit("/"))
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.array_join(F.slice(labels, i, n), "."))
@@ -40,23 +52,26 @@ def url_keys(url):
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """All columns of captures and blocked, matched_list, matched_key, listed_since, of the state on the day of fetched_at.
 
-    The longest key that is listed then is named, of equal ones that of the first list.
+    The longest key that is listed then is named, of equal ones that of the first list. Different pairs of URL and
+    day are judged once, and those that are blocked meet the captures by an equi-join, so other columns travel
+    once and rows need no number.
 
     Cases: a null url or fetched_at, or an empty url, is not blocked (nulls); repeated captures are judged
-    each; an empty list blocks nothing. Columns with the names of new ones are replaced.
+    each; URLs of any length are; an empty list blocks nothing. Columns with the names of new ones are replaced.
     """
     new = ("blocked", "matched_list", "matched_key", "listed_since")
     captures = captures.drop(*new)
-    rows = captures.select(F.struct("*").alias("c"), F.monotonically_increasing_id().alias("r"), F.to_date("fetched_at").alias("day"), F.col("url").alias("u"))
-    last = rows.agg(F.max("day").alias("last"))
+    asked = captures.select(F.col("url").alias("u"), F.to_date("fetched_at").alias("day")).where("u is not null and day is not null").distinct()
+    last = asked.agg(F.max("day").alias("last"))
     month = lambda d: F.year(d) * 12 + F.month(d)
     spans = intervals(entries).crossJoin(F.broadcast(last)).where("since <= last")
     spans = spans.withColumn("month", F.explode(F.sequence(month("since"), month(F.least(F.coalesce(F.date_sub("until", 1), "last"), "last")))))
-    keyed = rows.withColumn("key", F.explode_outer(url_keys(F.col("u")))).withColumn("month", month("day"))
+    keyed = asked.withColumn("key", F.explode(url_keys(F.col("u")))).withColumn("month", month("day"))
     on = (keyed.key == spans.key) & (keyed.month == spans.month) & (keyed.day >= spans.since) & (spans.until.isNull() | (keyed.day < spans.until))
-    met = keyed.join(spans, on, "left").select("r", "c", F.when(spans.key.isNotNull(), F.struct((-F.length(spans.key)).alias("n"), spans.key.alias("key"), spans.list.alias("list"), spans.since.alias("since"))).alias("m"))
-    best = met.groupBy("r").agg(F.any_value("c").alias("c"), F.min("m").alias("m"))
-    return best.select("c.*", F.col("m").isNotNull().alias("blocked"), F.col("m.list").alias("matched_list"), F.col("m.key").alias("matched_key"), F.col("m.since").alias("listed_since"))
+    met = keyed.join(spans, on).select("u", "day", F.struct((-F.length(spans.key)).alias("n"), spans.key.alias("key"), spans.list.alias("list"), spans.since.alias("since")).alias("m"))
+    best = met.groupBy("u", "day").agg(F.min("m").alias("__m")).select(F.col("u").alias("__u"), F.col("day").alias("__day"), "__m")
+    out = captures.join(best, (captures["url"] == best["__u"]) & (F.to_date(captures["fetched_at"]) == best["__day"]), "left")
+    return out.select(*captures.columns, F.col("__m").isNotNull().alias("blocked"), F.col("__m.list").alias("matched_list"), F.col("__m.key").alias("matched_key"), F.col("__m.since").alias("listed_since"))
 
 
 # --- the query: captures and entries derived by rule from pages, as there are no such tables
@@ -95,8 +110,8 @@ def _oracle() -> str:
     return f"""
     WITH captures AS (SELECT row_number() OVER () AS r, * FROM ({captures})),
     entries AS (SELECT list, key, listed_on, max(action) AS action FROM ({entries}) WHERE key IS NOT NULL GROUP BY ALL),
-    bare AS (SELECT r, lower(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '')) AS b FROM captures),
-    parts AS (SELECT r, regexp_extract(b, '^(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host, regexp_extract(b, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM bare),
+    bare AS (SELECT r, regexp_replace(lower(regexp_replace(url, '{_EDGES}', '', 'g')), '{_BEFORE}', '') AS b FROM captures),
+    parts AS (SELECT r, regexp_replace(regexp_extract(b, '{_HOST}', 1), '[.]+$', '') AS host, replace(regexp_extract(b, '{_PATH}', 1), chr(92), '/') AS path FROM bare),
     labels AS (SELECT r, host, path, string_split(host, '.') AS l FROM parts),
     keyed AS (
       SELECT r, host || path AS key FROM labels
