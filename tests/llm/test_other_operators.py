@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -19,14 +20,17 @@ from linkrain.llm import common, decontaminate, quality, simhash, suffixes, topk
 def plain_verdict(url, day, entries):
     if not url or day is None:
         return (False, None, None, None)
-    bare = url.lower().split("://", 1)[-1]
-    host = bare.split("/")[0].split("?")[0].split("#")[0].split("@")[-1].split(":")[0]
+    bare = url.lower().strip("".join(map(chr, range(33)))).replace("\\", "/")
+    bare = bare.split(":", 1)[1].lstrip("/") if re.match("https?:", bare) else bare.lstrip("/") if bare.startswith("//") else bare
+    cut = re.split("[/?#]", bare)[0]
+    host = cut.split("@")[-1].split(":")[0].rstrip(".")
     rest = bare.split("?")[0].split("#")[0]
     path = rest[rest.index("/") :] if "/" in rest else ""
     labels = host.split(".")
     keys = {host + path, *(".".join(labels[i:]) for i in range(max(1, len(labels) - 1)))}
     found = []
-    for name, key in {(e[0], e[1].lower()) for e in entries if None not in e}:
+    entries = [(e[0], e[1] and e[1].lower(), *e[2:]) for e in entries]
+    for name, key in {(e[0], e[1]) for e in entries if None not in e}:
         state, since = False, None
         for d in sorted({e[3] for e in entries if e[:2] == (name, key) and None not in e}):
             if d <= day:
@@ -43,9 +47,10 @@ def test_url_lists(spark):
     rng = random.Random(1)
     day = lambda: datetime.date(2024, 1, 1) + datetime.timedelta(rng.randint(0, 200))
     hosts = ["a.example.com", "example.com", "b.example.com", "x.org", "www.x.org", "localhost"]
-    entries = [(rng.choice(["l1", "l2"]), rng.choice([*hosts, "x.org/bad", "a.example.com/p/q"]), rng.choice(["add", "add", "remove"]), day()) for _ in range(60)]
+    entries = [(rng.choice(["l1", "l2"]), rng.choice([*hosts, "X.org", "x.org/bad", "A.example.com/p/q"]), rng.choice(["add", "add", "remove"]), day()) for _ in range(60)]
     entries += [entries[0], (None, "x.org", "add", day()), ("l1", "x.org", "add", None)]
-    caps = [(i, rng.choice(["http://", "https://u@", ""]) + rng.choice(hosts) + rng.choice(["", "/", "/bad", "/p/q?x=1", ":80/bad#f"]), day()) for i in range(200)]
+    caps = [(i, rng.choice(["http://", "https://u@", "", "//", " HTTP:\\\\", "\thttp:/"]) + rng.choice(hosts) + rng.choice(["", "/", "/bad", ".", "\\bad", "\\@good.com/", "/p/q?x=1", "?a@b", ":80/bad#f "]), day()) for i in range(400)]
+    caps += [(903, "http://x.org/" + "p" * 100_000, day())]
     caps += [caps[0], (900, None, day()), (901, "x.org", None), (902, "", day()), (None, "http://x.org", day())]
     df = spark.createDataFrame(caps, "page_id long, url string, fetched_at date").withColumn("blocked", F.lit("clash"))
     es = spark.createDataFrame(entries, "list string, key string, action string, listed_on date")
@@ -53,6 +58,9 @@ def test_url_lists(spark):
     want = sorted(repr((i, u, *plain_verdict(u, d, entries))) for i, u, d in caps)
     assert sorted(repr((r.page_id, r.url, r.blocked, r.matched_list, r.matched_key, r.listed_since)) for r in got) == want
     assert any(r.blocked for r in got)
+    twice = [("l", "Example.com", "add", datetime.date(2024, 1, 1)), ("l", "example.com", "remove", datetime.date(2024, 2, 1))]
+    one = spark.createDataFrame([(1, "http://example.com", datetime.date(2024, 3, 1))], df.drop("blocked").schema)
+    assert urls.filter_urls(one, spark.createDataFrame(twice, es.schema)).where("blocked").count() == 0
     assert urls.filter_urls(df, es.limit(0)).where("blocked").count() == 0 and urls.filter_urls(df.limit(0), es).count() == 0
 
 
@@ -67,7 +75,7 @@ def test_top_k(spark, shard, block):
     v[100] = 0
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
     rows += [(1000, None), (1050, [None] * 6), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (None, [1.0] * 6), (1200, [1.0, 2.0]), (1201, [1.0, 1.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard=shard, block=block).collect()
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")), shard=shard, block=block).collect()
     q = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()}
     want = set()
     for a, x in q.items():
@@ -78,14 +86,29 @@ def test_top_k(spark, shard, block):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_large_numbers_and_repeated_rows(spark):
+    rng = random.Random(6)
+    rows = [(0, [1e30, 1e30]), (1, [1e30, 2.0]), (2, [1.0, 2.0]), (3, [-1e30, 5.0]), (4, [1e300, 1e308]), (50, [2.0**40 + 0.5, -(2.0**39)])]
+    rows += [(i, [rng.uniform(-1, 1) * 2.0**33, float(rng.randint(-9, 9))]) for i in range(60, 120)] + [(200, [1e30, 1e30])] * 9 + [(0, [1e30, 1e30])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    whole = lambda x: int(Fraction(x) * 256 // 1)
+    q = [(i, [*map(whole, x)]) for i, x in rows]
+    want = []
+    for a, x in dict(q).items():
+        if a % 50 == 0:
+            best = sorted((-sum(s * t for s, t in zip(x, y)), b) for b, y in q if b != a)[:5]
+            want += [(a, n, b, max(-(2**63), min(2**63 - 1, -s))) for n, (s, b) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     v = np.zeros((10_000, 4))
     v[:, 0] = rng.permutation(10_000)
     shard = topk.Shard(np.arange(10_000), v)
-    scores, ids = shard.search(np.array([1.0, 0, 0, 0]), -1, 5, -np.inf)
+    scores, ids = shard.search(np.array([1.0, 0, 0, 0]), -1, 5)
     assert sorted(scores.tolist()) == [9995, 9996, 9997, 9998, 9999]
-    assert len(shard.search(np.array([1.0, 0, 0, 0]), -1, 5, 20_000.0)[0]) == 0
+    assert shard.scored[0] < 100
 
 
 # --- toxicity
