@@ -50,6 +50,27 @@ _UNICODE_16 = (
 _SMALL = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0x1C89: 0x1C8A} | {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
 
 
+#: Ranges of combining marks that vocabularies' normalisation does not know as such (they are newer), so it leaves
+#: them and what is around them in order; and a vowel sign (11930) that it does not compose.
+_PLAIN_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x11930, 0x11930), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
+    (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+_SPLIT_MARKS = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _PLAIN_MARKS) + "])")
+
+
+def composed(text: str) -> str:
+    """NFC as vocabularies' normalisation has it."""
+    if text.isascii():
+        return text
+    if _SPLIT_MARKS.search(text) is None:
+        return unicodedata.normalize("NFC", text)
+    return "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(_SPLIT_MARKS.split(text)))
+
+
 _MAYBE_SMALL = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
 
 
@@ -83,6 +104,7 @@ class Model:
         model = spec["model"]
         self.end_mark = model.get("end_of_word_suffix") or ""
         self.symbols = byte_symbols()
+        self.byte_of = {s: b for b, s in enumerate(self.symbols)}
         self.vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.pieces = {i: p for p, i in self.vocab.items()} | {i: p for p, i in self.added.items()}
@@ -108,6 +130,10 @@ class Model:
         self.lengths = {i: len(self._key(p)) for p, i in self.vocab.items()}
         self.lookahead = self._lookahead()
 
+    def number(self, piece: str) -> int:
+        """The token that is written so."""
+        return self.vocab[piece] if piece in self.vocab else self.added[piece]
+
     def _key(self, piece: str) -> str:
         """One character per symbol: the last byte with the end mark is a symbol of its own."""
         if self.end_mark and piece.endswith(self.end_mark) and len(piece) > len(self.end_mark):
@@ -210,25 +236,21 @@ class Encoder:
     """Texts to tokens; words are remembered within a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.memory, self.decoder = model, {}, Decoder(model)
+        self.model, self.memory, self.stream = model, {}, WordEncoder(model)
 
     def _normal(self, text: str) -> str:
         if not self.model.fold:
             return text
         # one character at a time has no final form of sigma
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = composed(text).replace("Σ", "σ").lower()
         return text.translate(_SMALL) if _MAYBE_SMALL.search(text) else text
 
     def word(self, word: str) -> tuple[int, str, str]:
-        """(tokens, ids in decimal, pieces as decoded), blanks between."""
-        data, m = word.encode(), self.model
-        if len(data) <= m.lookahead:  # all of the word is within the lookahead
-            first = m.first
-            ids = m.merge([*[first[b] for b in data[:-1]], m.last[data[-1]]])
-        else:
-            encoder = WordEncoder(m)
-            ids = [*encoder.feed(data), *encoder.finish()]
-        out = len(ids), " ".join(map(str, ids)), self.decoder.feed(ids, True)
+        """(tokens, ids in decimal, their pieces), blanks between."""
+        data = word.encode()
+        ids = [*self.stream.feed(data), *self.stream.finish()]
+        pieces = self.model.pieces
+        out = len(ids), " ".join(map(str, ids)), " ".join([pieces[i] for i in ids])
         if len(data) <= REMEMBERED_SYMBOLS:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
@@ -256,17 +278,18 @@ class Encoder:
         """(tokens, SHA-256 of the ids and of the decoded text, the ids if asked for)."""
         n, numbers = 0, []
         hashes = (hashlib.sha256(), hashlib.sha256())
+        decoder = Decoder(self.model)
         for some in self.parts(text):
             counts, texts, pieces = zip(*some)
             if n:
-                for h in hashes:
-                    h.update(b" ")
+                hashes[0].update(b" ")
             n += sum(counts)
             joined = " ".join(texts)
             hashes[0].update(joined.encode())
-            hashes[1].update(" ".join(pieces).encode())
+            hashes[1].update(decoder.feed(pieces).encode())
             if ids:
                 numbers.append(np.array(joined.split(), np.int32))
+        hashes[1].update(decoder.finish().encode())
         return n, hashes[0].hexdigest(), hashes[1].hexdigest(), np.concatenate([np.zeros(0, np.int32), *numbers]) if ids else None
 
     def encode(self, text: str) -> list[int]:
@@ -277,24 +300,28 @@ class Decoder:
     """Tokens to text, a few at a time.
 
     Without a decoder in its file a vocabulary's pieces are put together with blanks, as the public library
-    does; text() gives the bytes that the pieces stand for, as far as they are whole characters.
+    does; text() gives the bytes that the pieces stand for, as far as they are whole characters. Between calls
+    the machine keeps whether a piece came before, or the bytes of an unfinished character.
     """
 
     def __init__(self, model: Model):
         self.model, self.begun = model, False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.byte_of = {s: b for b, s in enumerate(model.symbols)}
+        self.byte_of = model.byte_of
+
+    def feed(self, pieces: Iterable[str]) -> str:
+        """Text of further tokens, given as strings of pieces with blanks between."""
+        if not self.model.joined_by_blank:
+            return self.text([i for p in pieces for i in map(self.model.number, p.split(" "))])
+        out = " ".join(pieces)
+        if out and self.begun:
+            out = " " + out
+        self.begun = self.begun or bool(out)
+        return out
 
-    def feed(self, ids: Iterable[int], alone: bool = False) -> str:
-        """Text of further tokens; of tokens that are a whole text or word if alone."""
-        m = self.model
-        if m.joined_by_blank:
-            if alone:
-                return " ".join([m.pieces[i] for i in ids])
-            out = " ".join(m.pieces[i] for i in ids if i in m.pieces)
-            out, self.begun = (" " + out if self.begun and out else out), self.begun or bool(out)
-            return out
-        return self.text(ids, alone)
+    def finish(self) -> str:
+        """What an unfinished character at the end stands for."""
+        return self.utf8.decode(b"", True)
 
     def text(self, ids: Iterable[int], last: bool = False) -> str:
         m, out = self.model, []
@@ -308,7 +335,7 @@ class Decoder:
             ended = m.end_mark and piece.endswith(m.end_mark)
             data = bytes(self.byte_of[c] for c in (piece.removesuffix(m.end_mark) if ended else piece))
             out.append(self.utf8.decode(data + b" " if ended else data))
-        return "".join(out) + (self.utf8.decode(b"", True) if last else "")
+        return "".join(out) + (self.finish() if last else "")
 
 
 def bpe_encode(documents: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
@@ -317,12 +344,14 @@ def bpe_encode(documents: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("
     vocabulary is the path of a tokenizer file on the driver, which sends the file's text (1.7 MB) along.
 
     Cases: a null text is an empty one, which has no tokens; repeated rows stay; words of any length are
-    encoded in constant memory; strings of added tokens in a text are these tokens.
+    encoded in constant memory, beside the text itself; strings of added tokens in a text are these tokens; other
+    columns are not read, and keep columns with the names of results are left out.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = documents.sparkSession.sparkContext.broadcast((f.read(), late_characters()))
     new = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
     new += [("token_ids", pa.list_(pa.int32()), "array<int>")] * ids
+    keep = tuple(c for c in keep if c not in [n for n, *_ in new])
     kept = documents.select(*keep, F.col("text").cast("binary").alias("__text"))
     schema = kept.select(*keep, *(F.lit(None).cast(t).alias(n) for n, _, t in new)).schema
 

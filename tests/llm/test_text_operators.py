@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -79,8 +80,8 @@ def test_bpe_is_the_librarys(spark, model):
     rng = random.Random(2)
     chars = [chr(c) for c in [*range(32, 127), 0xE9, 0xDF, 0x130, 0x3A3, 0x301, 0x4E2D, 0x1F600, 0xA0, 0x2003, 0xFFFD, 0x1C]]
     texts = [None, "", " \n", "It's we'll <|endoftext|>don't<|startoftext|>", "Σ ΑΣ", *("".join(rng.choices(chars, k=rng.randint(1, 60))) for _ in range(150)), "thethe" * 2000, *prose(rng, 20)]
-    docs = spark.createDataFrame([*enumerate(texts), (0, None)], DOCS)
-    got = bpe.bpe_encode(docs, bpe.vocabulary_path()).collect()
+    docs = spark.createDataFrame([*enumerate(texts), (0, None)], DOCS).withColumn("n_tokens", F.lit("clash"))
+    got = bpe.bpe_encode(docs, bpe.vocabulary_path(), keep=("doc_id", "n_tokens")).collect()
     assert len(got) == len(texts) + 1
     for r in got:
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
@@ -90,6 +91,23 @@ def test_bpe_is_the_librarys(spark, model):
     assert bpe.bpe_encode(docs.limit(0), bpe.vocabulary_path()).count() == 0
 
 
+def test_combining_marks_are_in_the_librarys_order(model):
+    from tokenizers import normalizers
+
+    library, encoder = normalizers.NFC(), bpe.Encoder(model)
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))] + ["\U00011930"]
+    for first in marks:
+        for _ in range(12):
+            t = rng.choice("aeéo\U00011935") + "".join(rng.choices([first, *rng.sample(marks, 2)], k=rng.randint(1, 4)))
+            assert bpe.composed(t) == library.normalize_str(t)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(bpe.vocabulary_path())
+    for t in ("\u0345\u08cd", "\u0345\u08d2", "\u0345\u1ac0", "\u0345\u1df9", "\u1ac7\u0332"):
+        assert encoder.encode(t) == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_streamed_words_are_final_in_constant_memory(model):
     rng = random.Random(3)
     for _ in range(6):
