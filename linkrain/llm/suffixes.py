@@ -14,8 +14,10 @@ the bytes they cover. Only anchors whose hash occurs twice can hold a repetition
 Two-stage sorting directly sorts only the suffixes that are smaller than their successors; the others are
 induced by scanning the buckets of first bytes from the smallest on.
 
-What is sent between the steps is packed, many anchors to a row. An anchor that occurs very often sends its
-strings one by one by their own hashes, so that no bucket holds all of its contexts.
+What is sent between the steps is packed, many anchors to a row. Anchors that occur very often are found first:
+those that many places of some pack of texts have, and by sums too many in all. Their places go straight to the
+texts, not to a common bucket, and of their contexts, once equal ones of a text bucket are one, the strings are
+sent one by one by their own hashes, so that no bucket holds all contexts of an anchor.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ LENGTH = 100
 GRAM = 50
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 8 << 20
-#: Occurrences of an anchor beyond which its strings are sent one by one.
-HOT = 100_000
+#: Occurrences of an anchor beyond which its strings are sent one by one; more in a very large corpus, so that the list of
+#: such anchors, which is broadcast, has at most some five million (40 MB).
+HOT, _LISTED = 2000, 1 << 27
+#: Occurrences in a pack from which on an anchor is counted for that list.
+_OFTEN = 16
 _CHUNK, _PACK = 1 << 19, 8 << 20
 _LAST = (1 << 63) - 1
 
@@ -265,44 +270,68 @@ def repeated_starts(contexts: list[bytes], order: list[int], length: int) -> lis
     return [flag[e - s : e - length + 1] for e, s in zip(ends.tolist(), sizes.tolist())]
 
 
-def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram: int, buckets: int, hot: int) -> DataFrame:
+def _packs(batches: Iterator[pa.RecordBatch], grams: Grams, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor, did, th, start, further strings) of all runs, for some texts at a time."""
+    held, size, packed, total = [], 0, [], 0
+
+    def meet():
+        of, h, lo, more = grams.anchors([x[3] for x in held], length)
+        did, th, base = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
+        packed.append((h, did[of], th[of], (lo + base[of]).astype(np.uint32), more.astype(np.uint8)))
+
+    for batch in batches:
+        for did, th, text in zip(*(c.to_pylist() for c in batch.columns)):
+            # a longer text comes in pieces that share length - 1 bytes, so that each string is in one of them
+            for base in range(0, len(text) - length + 1, _CHUNK):
+                held.append((did, th, base, text[base : base + _CHUNK + length - 1]))
+                size += len(held[-1][3])
+                if size >= _CHUNK:
+                    meet()
+                    total += size
+                    held, size = [], 0
+                if total >= _PACK:
+                    yield tuple(np.concatenate(x) for x in zip(*packed))
+                    packed.clear()
+                    total = 0
+    if held:
+        meet()
+    if packed:
+        yield tuple(np.concatenate(x) for x in zip(*packed))
+
+
+def often_anchors(texts: DataFrame, length: int, gram: int, hot: int, often: int = _OFTEN) -> np.ndarray:
+    """Sorted anchors of more than hot places in packs that have often or more of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, *_ in _packs(batches, Grams(gram), length):
+            h, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n >= often].view(np.int64)), pa.array(n[n >= often])], names=["h", "n"])
+
+    sums = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    return np.sort(sums.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram: int, buckets: int, hot: int, often: int) -> DataFrame:
     """Packed spans by text bucket, from rows (did, th, text as binary) and the same with compressed text and its bucket."""
     texts = documents.select("did", "th", "text")
+    known = documents.sparkSession.sparkContext.broadcast(often_anchors(texts, length, gram, hot, often))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(gram)
-        held, size, packed = [], 0, []
-        total = 0
-
-        def flush():
-            h, did, th, lo, more = (np.concatenate(x) for x in zip(*packed))
-            rows = [(b, pack(h=h[i], did=did[i], th=th[i], lo=lo[i], more=more[i])) for b, i in _dealt((h % np.uint64(buckets)).astype(np.int64))]
+        hots = np.append(known.value, np.uint64(0))
+        for h, did, th, lo, more in _packs(batches, Grams(gram), length):
+            is_hot = hots[np.searchsorted(hots[:-1], h)] == h if len(hots) > 1 else np.zeros(len(h), bool)
+            rows = []
+            for b, i in _dealt(np.where(is_hot, -1 - _place(did, th, buckets), (h % np.uint64(buckets)).astype(np.int64))):
+                if b < 0:  # known already: negative buckets pass the next step as they are
+                    rows.append((b, pack(did=did[i], th=th[i], lo=lo[i], more=more[i], h=h[i], hot=np.ones(len(i), np.uint8))))
+                else:
+                    rows.append((b, pack(h=h[i], did=did[i], th=th[i], lo=lo[i], more=more[i])))
             yield from _rows(rows).to_batches()
 
-        def meet():
-            of, h, lo, more = grams.anchors([x[3] for x in held], length)
-            did, th, base = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
-            packed.append((h, did[of], th[of], (lo + base[of]).astype(np.uint32), more.astype(np.uint8)))
-
-        for batch in batches:
-            for did, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                # a longer text comes in pieces that share length - 1 bytes, so that each string is in one of them
-                for base in range(0, len(text) - length + 1, _CHUNK):
-                    held.append((did, th, base, text[base : base + _CHUNK + length - 1]))
-                    size += len(held[-1][3])
-                    if size >= _CHUNK:
-                        meet()
-                        total += size
-                        held, size = [], 0
-                    if total >= _PACK:
-                        yield from flush()
-                        packed, total = [], 0
-        if held:
-            meet()
-        if packed:
-            yield from flush()
-
     def requests(key, group):
+        bucket = int(key[0].as_py())
+        if bucket < 0:
+            return _rows([(-1 - bucket, b) for b in group.column("data").to_pylist()])
         h, did, th, lo, more = _joined(group.column("data").to_pylist(), "<u8", "<i8", "<i8", "<u4", "<u1")
         order = np.argsort(h, kind="stable")
         own = h[order]
@@ -412,7 +441,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return left, len(text) - len(left), runs
 
 
-def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, often: int = _OFTEN) -> DataFrame:
     """keep columns, n_bytes, n_removed, n_spans, kept (binary) of every row of documents.
 
     A byte goes if a string of length bytes over it also starts earlier: in a text of smaller doc_id, or
@@ -436,7 +465,7 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), le
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), b.column(3), pa.array(place, pa.int32())], names=["row", "did", "text", "th", "bucket"])
 
     placed = keyed.mapInArrow(bucketed, keyed.withColumn("bucket", F.lit(0)).schema)
-    spans = spans_of_repeats(keyed, placed, length, gram, buckets, hot)
+    spans = spans_of_repeats(keyed, placed, length, gram, buckets, max(hot, size // _LISTED), often)
 
     def cut_out(key, docs, found):
         did, th, a, e = _joined(found.column("data").to_pylist(), "<i8", "<i8", "<u4", "<u4")

@@ -277,16 +277,30 @@ def plain_removed(docs, length):
     return out
 
 
-@pytest.mark.parametrize("alphabet, hot", [("ab", 100_000), ("ab", 4), ("é€x", 100_000)])
-def test_repeats_are_removed(spark, alphabet, hot):
-    rng = random.Random(len(alphabet) + hot)
+@pytest.mark.parametrize("alphabet, hot, often", [("ab", 100_000, 16), ("ab", 4, 100), ("ab", 3, 2), ("é€x", 100_000, 16), ("é€x", 2, 2)])
+def test_repeats_are_removed(spark, alphabet, hot, often):
+    rng = random.Random(len(alphabet) + hot + often)
     pool = ["".join(rng.choice(alphabet) for _ in range(rng.randint(5, 70))) for _ in range(10)]
     docs = {i: "".join(rng.choice(pool) for _ in range(rng.randint(0, 6))) for i in range(50)}
-    got = suffixes.remove_repeats(spark.createDataFrame([*docs.items()], DOCS), length=20, gram=8, hot=hot).collect()
+    got = suffixes.remove_repeats(spark.createDataFrame([*docs.items()], DOCS), length=20, gram=8, hot=hot, often=often).collect()
     want = plain_removed({d: t.encode() for d, t in docs.items()}, 20)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
 
 
+def test_a_line_of_all_texts_in_distinct_surroundings(spark):
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdefgh") for _ in range(18))
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    docs = {i: some(rng.randint(10, 40)) + line + rng.choice("ab") * rng.randint(1, 3) + some(30) for i in range(300)}
+    df = spark.createDataFrame([*docs.items()], DOCS).repartition(4)
+    texts = df.select(F.col("doc_id").alias("did"), F.lit(0).cast("long").alias("th"), F.col("text").cast("binary").alias("text"))
+    assert len(suffixes.often_anchors(texts, 20, 8, 50, 4))
+    got = suffixes.remove_repeats(df, length=20, gram=8, hot=50, often=4, bucket_bytes=500).collect()
+    want = plain_removed({d: t.encode() for d, t in docs.items()}, 20)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+    assert sum(r.n_removed > 0 for r in got) > 100
+
+
 def test_repeats_over_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_CHUNK", 64)
     monkeypatch.setattr(suffixes, "_PACK", 300)
