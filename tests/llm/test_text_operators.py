@@ -38,7 +38,7 @@ def plain_hits(text, items, window):
             for j in range(len(w) - len(part) + 1):
                 if w[j : j + len(part)] == part:
                     hit[j : j + len(part)] = [True] * len(part)
-                    found.add("null" if item_id is None else str(item_id))
+                    found |= set() if item_id is None else {str(item_id)}
     return len(w), sum(hit), sorted(found)
 
 
@@ -46,7 +46,7 @@ def plain_hits(text, items, window):
 def test_decontamination(spark, block_bytes):
     rng = random.Random(1)
     texts = prose(rng, 60, 25)
-    items = [(i, t[:80]) for i, t in enumerate(prose(rng, 12, 25))] + [(50, "É"), (51, None), (52, "..."), (None, "abc d"), (10, texts[3][10:120])]
+    items = [(i, t[:80]) for i, t in enumerate(prose(rng, 12, 25))] + [(12, texts[5][:90]), (13, texts[5][20:110]), (50, "É"), (51, None), (52, "..."), (None, "abc d"), (10, texts[3][10:120])]
     docs = [*enumerate(t.upper() if i % 7 == 0 else t.replace(" ", " -- ", 2) for i, t in enumerate(texts)), *ODD]
     df = spark.createDataFrame(docs, DOCS).withColumn("items", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
