@@ -1,10 +1,15 @@
 """Quality classifier by co-training: two views of a document teach each other.
 
 The text view counts what the text is made of and hashes its words; the metadata view sees source, language,
-length and the shape of lines. Each is a logistic regression. In every round each view labels a pool of
-unlabelled documents, and those it is surest of become training rows of the other view. Then both are
-calibrated on labelled rows that were set aside, combined by a logistic regression on their logits, and
-score all documents.
+length and the shape of lines. Each is a logistic regression. In every round each view labels all documents
+that are not among the labelled training rows, and those it is sure of become training rows of the other, of
+each label together as heavy as the labelled rows of that label. The other view then takes a Newton step,
+whose gradient and curvature are summed over all partitions. In the end each view is calibrated on
+labelled rows that were set aside, the calibrated views are combined by a logistic regression on their
+logits, and all documents are scored.
+
+Features of all documents are computed once and written to the shared folder, from which rounds and scores
+are read.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkrain.llm.common import column, slices
+from linkrain.llm.common import column, slices, stored
 
-#: Labelled and unlabelled rows, about, that are trained on (all if there are fewer; chosen by hash of the id).
-LABELLED, POOL = 6000, 6000
-ROUNDS, SHARE, SURE = 4, 0.1, 0.9
+#: Labelled rows, about, that are trained on (all if there are fewer; chosen by hash of the id).
+LABELLED = 6000
+ROUNDS, SURE = 3, 0.9
 HASHED = 256
+_SIZES = (12 + HASHED, 8 + 64 + 16)
 _WORD = re.compile(r"\w+")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
 
@@ -101,106 +107,158 @@ def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
+def shares(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
 @dataclass
 class Model:
-    """Weights of both views and of their combination (text, metadata, bias)."""
+    """Weights of both views, slope and bias that calibrate each one's logits, and their combination (text, metadata, bias)."""
 
-    text: np.ndarray
-    meta: np.ndarray
+    views: tuple[np.ndarray, np.ndarray]
+    calibration: tuple[np.ndarray, np.ndarray]
     both: np.ndarray
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of good quality: together, by text, by metadata."""
-        a, b = logits(text, self.text), logits(meta, self.meta)
-        return tuple(1 / (1 + np.exp(-z)) for z in (a * self.both[0] + b * self.both[1] + self.both[2], a, b))
+        """Of good quality: together, by text, by metadata; all are calibrated."""
+        a, b = (np.clip(logits(x, w) * c[0] + c[1], -30, 30) for x, w, c in zip((text, meta), self.views, self.calibration))
+        return shares(a * self.both[0] + b * self.both[1] + self.both[2]), shares(a), shares(b)
+
+
+#: For a learner (0: text) and a label: rows, gradient and curvature of the logistic loss.
+Sums = dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray]]
+
+
+def taught(views: tuple[np.ndarray, np.ndarray], weights: tuple[np.ndarray, np.ndarray], sure: float) -> Sums:
+    """The sums over rows that one view is sure of, at the weights of the other."""
+    out = {}
+    for learner in (0, 1):
+        p = shares(logits(views[1 - learner], weights[1 - learner]))
+        x, own = views[learner], shares(logits(views[learner], weights[learner]))
+        x = np.hstack([x, np.ones((len(x), 1))])
+        for label, by in ((0, 1 - p), (1, p)):
+            at = by >= sure
+            q = own[at]
+            out[learner, label] = float(at.sum()), x[at].T @ (q - label), (x[at] * (q * (1 - q))[:, None]).T @ x[at]
+    return out
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, share: float = SHARE, sure: float = SURE) -> Model:
-    """views: text and metadata features of labelled rows (in a fixed order), pool: of unlabelled ones."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable[[tuple[np.ndarray, np.ndarray]], Sums], rounds: int = ROUNDS) -> Model:
+    """views: text and metadata features of labelled rows (in a fixed order), pool: taught() of all other rows at some weights."""
     if not len(y) or y.min() == y.max():
         known = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
-        return Model(np.zeros(views[0].shape[1] + 1), np.zeros(views[1].shape[1] + 1), np.array([0.0, 0.0, known]))
+        return Model(tuple(np.zeros(n + 1) for n in _SIZES), (np.array([1.0, 0.0]),) * 2, np.array([0.0, 0.0, known]))
     aside = np.arange(len(y)) % 5 == 4
-    train = [(v[~aside], y[~aside]) for v in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]  # what each view may yet be taught
+    labelled, t = [np.hstack([v[~aside], np.ones((int((~aside).sum()), 1))]) for v in views], y[~aside]
+    weights = [fit(v[~aside], t) for v in views]
     for _ in range(rounds):
-        weights = [fit(x, t) for x, t in train]
-        for teacher, learner in ((0, 1), (1, 0)):
-            open_ = np.flatnonzero(free[learner])
-            if not len(open_):
-                continue
-            p = 1 / (1 + np.exp(-logits(pool[teacher][open_], weights[teacher])))
-            good = y.mean()
-            for label, by, part in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                most = int(share * part * len(pool[0]))
-                best = np.argsort(-by, kind="stable")[:most]
-                best = open_[best[by[best] >= sure]]
-                train[learner] = (np.vstack([train[learner][0], pool[learner][best]]), np.concatenate([train[learner][1], np.full(len(best), label)]))
-                free[learner][best] = False
-    weights = [fit(x, t) for x, t in train]
-    z = np.column_stack([logits(v[aside], w) for v, w in zip(views, weights)]) if aside.any() else np.zeros((0, 2))
-    both = fit(z, y[aside], 0.1) if aside.any() and 0 < y[aside].mean() < 1 else np.array([1.0, 0.5, 0.0])
-    return Model(weights[0], weights[1], both)
-
-
-def _features(documents: DataFrame, *more: str) -> DataFrame:
-    """more columns and both views of every row."""
-    kept = documents.select(*more, "source", "lang", F.col("text").cast("binary").alias("__text"))
-    schema = kept.select(*more, *(F.lit(None).cast("array<double>").alias(c) for c in ("a", "b"))).schema
+        sums = pool((weights[0], weights[1]))
+        for learner in (0, 1):
+            x, w = labelled[learner], weights[learner]
+            ridge = np.full(len(w), 1.0)
+            ridge[-1] = 1e-3
+            p = shares(np.clip(x @ w, -30, 30))
+            grad, curve = x.T @ (p - t) + ridge * w, (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
+            for label in (0, 1):
+                rows, g, h = sums[learner, label]
+                if rows:
+                    grad, curve = grad + g * ((t == label).sum() / rows), curve + h * ((t == label).sum() / rows)
+            weights[learner] = w - np.linalg.solve(curve, grad)
+    mixed = aside.any() and 0 < y[aside].mean() < 1
+    calibration = tuple(fit(logits(v[aside], w)[:, None], y[aside], 0.01) if mixed else np.array([1.0, 0.0]) for v, w in zip(views, weights))
+    z = np.column_stack([np.clip(logits(v[aside], w) * c[0] + c[1], -30, 30) for v, w, c in zip(views, weights, calibration)])
+    both = fit(z, y[aside], 0.1) if mixed else np.array([0.5, 0.5, 0.0])
+    return Model((weights[0], weights[1]), calibration, both)
+
+
+def features(documents: DataFrame) -> DataFrame:
+    """doc_id and both views (text_view, meta_view: float32 as bytes) of every row, computed once."""
+    kept = documents.select("doc_id", "source", "lang", F.col("text").cast("binary").alias("__text"))
+    schema = kept.select("doc_id", *(F.lit(b"").alias(c) for c in ("text_view", "meta_view"))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or b"").decode() for t in column(batch, "__text").to_pylist()]
-            a = [text_features(t) for t in texts]
-            b = [meta_features(s, la, t) for s, la, t in zip(column(batch, "source").to_pylist(), column(batch, "lang").to_pylist(), texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(more)], pa.array(a, pa.list_(pa.float64())), pa.array(b, pa.list_(pa.float64()))], names=[*more, "a", "b"])
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                texts = [(t or b"").decode(errors="replace") for t in column(batch, "__text").to_pylist()]
+                a = [text_features(t).astype("<f4").tobytes() for t in texts]
+                b = [meta_features(s, la, t).astype("<f4").tobytes() for s, la, t in zip(column(batch, "source").to_pylist(), column(batch, "lang").to_pylist(), texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return stored(kept.mapInArrow(run, schema))
 
 
-def _sample(df: DataFrame, n: int) -> DataFrame:
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(place < min(1.0, n / max(1, df.count())))
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    read = lambda name, n: np.frombuffer(b"".join(column(batch, name).to_pylist()), "<f4").reshape(-1, n).astype(float)
+    return read("text_view", _SIZES[0]), read("meta_view", _SIZES[1])
+
 
+def learn(table: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> Model:
+    """Co-trains on features(): about so many labelled rows, whose features come to the driver, and all other rows.
 
-def learn(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, **how) -> Model:
-    """Co-trains on about so many labelled and unlabelled documents, whose features come to the driver."""
+    A null label, or one that is neither 0 nor 1, is none; an id with both counts as bad; all rows of a labelled
+    id are labelled.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    with_text = documents.where("doc_id is not null")
-    own = with_text.join(F.broadcast(_sample(known, labelled)), "doc_id")
-    free = _sample(with_text.select("doc_id"), pool).join(known, "doc_id", "left_anti").select("doc_id").distinct()
-    rows = _features(own, "doc_id", "label").collect()
-    others = _features(with_text.join(F.broadcast(free), "doc_id"), "doc_id").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["label"], r["a"]))
-    others.sort(key=lambda r: (r["doc_id"], r["a"]))
-    array = lambda rs, c, n: np.array([r[c] for r in rs], float).reshape(len(rs), n)
-    sizes = {"a": len(text_features("")), "b": len(meta_features(None, None, ""))}
-    return co_train(tuple(array(rows, c, n) for c, n in sizes.items()), np.array([float(r["label"]) for r in rows]), tuple(array(others, c, n) for c, n in sizes.items()), **how)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # about labelled ids of eight bytes
+    known = F.broadcast(known.where(place < min(1.0, labelled / max(1, known.count()))))
+    rows = table.join(known, "doc_id").select("doc_id", "label", "text_view", "meta_view").toArrow().combine_chunks().to_batches()
+    if rows:
+        (batch,) = rows
+        views, y, ids = _views(batch), column(batch, "label").to_numpy().astype(float), column(batch, "doc_id").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], y[i], views[0][i].tolist(), views[1][i].tolist()))
+        views, y = tuple(v[order] for v in views), y[order]
+    else:
+        views, y = tuple(np.zeros((0, n)) for n in _SIZES), np.zeros(0)
+    others = table.join(known.select("doc_id"), "doc_id", "left_anti").select("text_view", "meta_view")
+
+    def pool(weights: tuple[np.ndarray, np.ndarray]) -> Sums:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Sums = {}
+            for batch in batches:
+                for key, part in taught(_views(batch), weights, sure).items():
+                    total[key] = tuple(x + y for x, y in zip(total[key], part)) if key in total else part
+            for (learner, label), (n, g, h) in total.items():
+                # a row for each row of the curvature, with the gradient's number; the first has the count
+                lines = [np.concatenate(([n if i == 0 else 0.0, g[i]], h[i])).tobytes() for i in range(len(g))]
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(g), pa.int32()) for c in (learner, label)] + [pa.array(range(len(g)), pa.int32()), pa.array(lines, pa.binary())], names=["learner", "label", "line", "sums"])
+
+        def add(key, group):
+            total = sum(np.frombuffer(x) for x in group.column("sums").to_pylist())
+            return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([total.tobytes()], pa.binary())], names=["learner", "label", "line", "sums"])
+
+        kind = "learner int, label int, line int, sums binary"
+        got = others.mapInArrow(run, kind).groupBy("learner", "label", "line").applyInArrow(add, kind).collect()
+        lines = {(r["learner"], r["label"], r["line"]): np.frombuffer(r["sums"]) for r in got}
+        out: Sums = {}
+        for learner in (0, 1):
+            for label in (0, 1):
+                own = [lines.get((learner, label, i), np.zeros(_SIZES[learner] + 3)) for i in range(_SIZES[learner] + 1)]
+                out[learner, label] = float(own[0][0]), np.array([x[1] for x in own]), np.array([x[2:] for x in own])
+        return out
+
+    return co_train(views, y, pool, rounds)
 
 
-def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, text_score, meta_score, predicted (1: good) of every row of documents.
+def score(table: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score, text_score, meta_score, predicted (1: good) of every row of features().
 
     Cases: a null text is an empty one, null source and lang are names of their own; without labelled rows of
-    both kinds every score is their smoothed share; repeated rows are scored each; other columns are not read.
+    both kinds every score is their smoothed share; a score that ties with the threshold is good; repeated rows
+    are scored each; of a text of any length the words and lines are in memory once; other columns are not
+    read, whatever their names.
     """
-    kept = documents.select("doc_id", "source", "lang", F.col("text").cast("binary").alias("__text"))
-    new = ("score", "text_score", "meta_score")
-    schema = kept.select("doc_id", *(F.lit(0.0).alias(c) for c in new)).schema
+    schema = table.select("doc_id", *(F.lit(0.0).alias(c) for c in ("score", "text_score", "meta_score"))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "__text"):
-                texts = [(t or b"").decode() for t in column(batch, "__text").to_pylist()]
-                a = np.array([text_features(t) for t in texts])
-                b = np.array([meta_features(s, la, t) for s, la, t in zip(column(batch, "source").to_pylist(), column(batch, "lang").to_pylist(), texts)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in model.scores(a, b))], names=schema.names)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in model.scores(*_views(batch)))], names=schema.names)
 
-    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return table.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     from linkrain.llm.common import table
 
-    documents = table(spark, sf_dir, "documents")
-    return score(documents, learn(documents, table(spark, sf_dir, "labels")))
+    seen = features(table(spark, sf_dir, "documents"))
+    return score(seen, learn(seen, table(spark, sf_dir, "labels")))

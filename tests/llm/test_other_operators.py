@@ -252,17 +252,92 @@ def test_quality(spark):
         docs.append((i, " ".join(w if good else [x + rng.choice(["###", "$$", "|"]) for x in w]), "en", "a" if good == (rng.random() < 0.8) else "b"))
         labels.append((i, int(good)))
     odd = [(5000, None, None, None), (5001, "", "en", "a"), (None, docs[0][1], "en", "a"), (0, *docs[0][1:])]
-    df = spark.createDataFrame([*docs, *odd], "doc_id long, text string, lang string, source string")
-    ls = spark.createDataFrame(labels, "doc_id long, quality int")
+    odd += [(5002, "word line\n" * 20_000, "en", "b")]
+    df = spark.createDataFrame([*docs, *odd], "doc_id long, text string, lang string, source string").withColumn("score", F.lit("clash")).withColumn("label", F.lit("clash"))
+    ls = spark.createDataFrame([*labels, (1, None), (4, 7)], "doc_id long, quality int")
     held = {i: y for i, y in labels if i % 3 == 0}
-    model = quality.learn(df, ls.where("doc_id % 3 = 1"))
-    got = quality.score(df, model).collect()
+    seen = quality.features(df)
+    model = quality.learn(seen, ls.where("doc_id % 3 = 1"))
+    got = quality.score(seen, model).collect()
     assert len(got) == len(docs) + len(odd) and all(0 <= r.score <= 1 for r in got)
     right = [r.predicted == held[r.doc_id] for r in got if r.doc_id in held]
     assert sum(right) / len(right) > 0.95
-    none = quality.learn(df, ls.limit(0))
-    assert quality.score(df, none).select("score").distinct().count() == 1
-    assert quality.score(df.limit(0), model).count() == 0
+    # both views are calibrated, on some 60 rows: means of scores are about the share of good ones
+    for name in ("score", "text_score", "meta_score"):
+        assert np.mean([r[name] for r in got if r.doc_id in held]) == pytest.approx(np.mean([*held.values()]), abs=0.15)
+    none = quality.learn(seen, ls.limit(0))
+    assert quality.score(seen, none).select("score").distinct().count() == 1
+    assert quality.score(quality.features(df.limit(0)), model).count() == 0
+
+
+def plain_views(text, source, lang):
+    words, lines, n = re.findall(r"\w+", text), text.split("\n"), len(text)
+    a, b = [0.0] * 268, [0.0] * 88
+    if n:
+        m = max(1, len(words))
+        size = [len(w) for w in words] or [0]
+        most = [words.count(w) for w in set(words)]
+        mean = sum(size) / len(size)
+        a[:12] = [
+            sum(not re.match(r"[\w\s.,;:!?'\"()-]", c) for c in text) / n * 10, text.count("|") / n * 20, sum(c in "!?" for c in text) / n * 20, sum(c in ".," for c in text) / n * 10,
+            sum(w.isupper() for w in words) / m, sum(c.isdigit() for c in text) / n * 5, len(set(words)) / m, max(most, default=0) / m, mean / 10,
+            math.sqrt(sum((x - mean) ** 2 for x in size) / len(size)) / 10, sum(c * c for c in most) / m**2 * 10, min(len(words), 200) / 200,
+        ]
+        for w in words:
+            a[12 + zlib.crc32(w.lower().encode()) % 256] += 5 / m
+    size = [len(x) for x in lines]
+    mean = sum(size) / len(size)
+    again = [x for x in lines if lines.count(x) > 1]
+    b[:8] = [
+        math.log1p(n) / 10, math.log1p(len(lines)) / 5, math.log1p(mean) / 8, math.log1p(math.sqrt(sum((x - mean) ** 2 for x in size) / len(size))) / 8,
+        1 - len(set(lines)) / len(lines), max(lines.count(x) for x in lines) / len(lines), size.count(0) / len(lines), sum(map(len, again)) / max(1, n),
+    ]
+    b[8 + zlib.crc32((source or "").encode()) % 64] = b[72 + zlib.crc32((lang or "").encode()) % 16] = 1.0
+    return a, b
+
+
+def test_quality_is_the_plain_one(spark):
+    rng = random.Random(15)
+    words = ["ab", "Cde", "XY", "x|", "9", "no!", "é,", "$"]
+    rows = [(i, rng.choice([None, "", *["\n".join(" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(rng.randint(1, 5))) for _ in range(6)]]), rng.choice(["en", None]), rng.choice("ab")) for i in range(400)]
+    rows += [rows[7], (8, "another", "en", "a"), (None, "no id", None, None)]
+    good = {i: int(len(t or "") % 3 > 0) for i, t, *_ in rows[:120]}
+    views = [plain_views(t or "", s, la) for _, t, la, s in rows]
+    views = [np.array([v[k] for v in views], np.float32).astype(float) for k in (0, 1)]
+    known = np.array([i in good for i, *_ in rows])
+    own = sorted(np.flatnonzero(known), key=lambda j: (zlib.crc32(str(rows[j][0]).encode()), rows[j][0], good[rows[j][0]], views[0][j].tolist(), views[1][j].tolist()))
+    y = np.array([float(good[rows[j][0]]) for j in own])
+    one = lambda x, w: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ w[:-1]) + w[-1]))))
+    inside = [j for k, j in enumerate(own) if k % 5 != 4]
+    weights = [quality.fit(v[inside], y[[k for k in range(len(own)) if k % 5 != 4]]) for v in views]
+    for _ in range(quality.ROUNDS):
+        new = []
+        for learner in (0, 1):
+            v, w, other = views[learner], weights[learner], weights[1 - learner]
+            train = [(v[j], good[rows[j][0]], 1.0, 1e-6) for j in inside]
+            sure = [(j, int(p > 0.5)) for j in np.flatnonzero(~known) for p in [one(views[1 - learner][j], other)] if max(p, 1 - p) >= quality.SURE]
+            for label in (0, 1):
+                part = [j for j, t in sure if t == label]
+                train += [(v[j], label, sum(good[rows[k][0]] == label for k in inside) / len(part), 0.0) for j in part]
+            ridge = np.array([1.0] * v.shape[1] + [1e-3])
+            grad, curve = ridge * w, np.diag(ridge)
+            for x, t, h, more in train:
+                p, x1 = one(x, w), np.append(x, 1.0)
+                grad, curve = grad + h * (p - t) * x1, curve + (h * p * (1 - p) + more) * np.outer(x1, x1)
+            new.append(w - np.linalg.solve(curve, grad))
+        weights = new
+    aside, t = [j for k, j in enumerate(own) if k % 5 == 4], y[4::5]
+    z = [np.array([max(-30, min(30, v[j] @ w[:-1] + w[-1])) for j in range(len(rows))]) for v, w in zip(views, weights)]
+    cal = [quality.fit(x[aside][:, None], t, 0.01) for x in z]
+    z = [np.clip(x * c[0] + c[1], -30, 30) for x, c in zip(z, cal)]
+    both = quality.fit(np.column_stack([x[aside] for x in z]), t, 0.1)
+    want = [1 / (1 + np.exp(-x)) for x in (z[0] * both[0] + z[1] * both[1] + both[2], *z)]
+    seen = quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = quality.score(seen, quality.learn(seen, spark.createDataFrame([*good.items()], "doc_id long, quality int"))).collect()
+    key = lambda r: (repr(r[0]), r[1])
+    got, want = sorted(((r.doc_id, r.score, r.text_score, r.meta_score) for r in got), key=key), sorted(zip([r[0] for r in rows], *want), key=key)
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=1e-6)
 
 
 def test_digits_of_the_whole_text_count():
