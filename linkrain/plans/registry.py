@@ -124,11 +124,11 @@ def r10_concat_merge(spark, d):
     return timeseries.merge(both, links(spark, d).select("cml_id", "frequency_ghz"), ["cml_id"])
 
 
-@query(f"WITH {_O} SELECT a.event_id, b.value FROM obs a LEFT JOIN (SELECT * FROM obs WHERE event_id % 3 = 0) b USING (cml_id, channel_id, time)")
+@query(f"WITH {_O} SELECT a.event_id, b.value FROM obs a LEFT JOIN (SELECT * FROM obs WHERE rsl IS NOT NULL) b USING (cml_id, channel_id, time)")
 def r11_align(spark, d):
     df = observations(spark, d)
-    some = df.where("event_id % 3 = 0").select(*timeseries.KEYS, "time", "value")
-    return timeseries.align(some, df).join(df.select(*timeseries.KEYS, "time", "event_id"), [*timeseries.KEYS, "time"]).select("event_id", "value")
+    valid = df.where("rsl is not null").select(*timeseries.KEYS, "time", "value")
+    return timeseries.align(valid, df).join(df.select(*timeseries.KEYS, "time", "event_id"), [*timeseries.KEYS, "time"]).select("event_id", "value")
 
 
 @query(
@@ -234,7 +234,31 @@ def w3_nearby_wetdry(spark, d):
     return _nearby(spark, d).select("cml_id", "channel_id", hours().alias("hour"), _r("pmin"), "wet", _r("F", 4))
 
 
-@query()
+def _list(values) -> str:
+    return "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
+
+
+def _stft() -> str:
+    """Power of windows of 16 rows as sums of cosines and sines, relative to the calmest 24 rows."""
+    k, n = np.arange(9)[:, None], np.arange(16)
+    window = np.hamming(16)
+    scale = np.where((k[:, 0] == 0) | (k[:, 0] == 8), 1.0, 2.0) * 60 / (window**2).sum()
+    part = lambda f, i: f"pow(list_dot_product(x, {_list(f(2 * np.pi * k[i] * n / 16) * window)}), 2)"
+    power = ", ".join(f"{float(scale[i])!r} * ({part(np.cos, i)} + {part(np.sin, i)}) AS p{i}" for i in range(9))
+    mean = ", ".join(f"avg(p{i}) AS m{i}" for i in range(9))
+    low, high = (" + ".join(f"p{i} / m{i}" for i in r) for r in (range(4), range(4, 9)))
+    gap = _GAP.replace("trsl", "rsl").replace(" FROM t)", " FROM obs)").replace("CASE WHEN t1 - t0 <= 21600000000 THEN ", "").replace("(t1 - t0) END)", "(t1 - t0))")
+    return f"""WITH {_O}, {gap},
+    rows AS (SELECT *, row_number() OVER w - 1 AS i, CASE WHEN count(rsl) OVER f = 16 THEN list(rsl) OVER f END AS x, CASE WHEN count(rsl) OVER c = 24 THEN stddev_samp(rsl) OVER c END AS s
+      FROM filled WINDOW w AS ({SERIES}), f AS ({SERIES} ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING), c AS ({SERIES} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+    calm AS (SELECT cml_id, channel_id, arg_min(i, s) AS stop FROM rows WHERE s IS NOT NULL GROUP BY ALL),
+    power AS (SELECT event_id, cml_id, channel_id, i, {power} FROM rows),
+    dry AS (SELECT cml_id, channel_id, {mean} FROM power JOIN calm USING (cml_id, channel_id) WHERE i >= stop - 24 AND i < stop GROUP BY ALL),
+    diff AS (SELECT event_id, ({low}) / 4 - ({high}) / 5 AS v FROM power LEFT JOIN dry USING (cml_id, channel_id))
+    SELECT event_id, coalesce(v > 1.5, false) AS wet, round(v, 6) AS P_sum_diff FROM diff"""
+
+
+@query(_stft())
 def w4_stft_wet(spark, d):
     return wetdry.stft_wet(timeseries.interpolate(observations(spark, d), "rsl", 1e9), window_length=16, dry_length=24, f_divide=4e-3).select("event_id", "wet", _r("P_sum_diff"))
 
@@ -252,7 +276,17 @@ def _weights(*shapes):
     return [rng.normal(size=s) / np.sqrt(s[0]) for s in shapes]
 
 
-@query()
+def _mlp_sql() -> str:
+    a, b = _weights((80, 8), (8, 2))
+    hidden = ", ".join(f"greatest(0, list_dot_product(x, {_list(a[:40, j])}) + list_dot_product(y, {_list(a[40:, j])})) AS h{j}" for j in range(8))
+    out = [" + ".join(f"h{j} * {float(b[j, k])!r}" for j in range(8)) for k in (0, 1)]
+    return f"""WITH {_O}, s AS (SELECT event_id, cml_id, channel_id, time, (value - lag(value) OVER w)::FLOAT::DOUBLE AS a, (tsl - lag(tsl) OVER w)::FLOAT::DOUBLE AS b FROM obs {_W}),
+    x AS (SELECT event_id, count(a) OVER f = 40 AND count(b) OVER f = 40 AS whole, list(coalesce(a, 0)) OVER f AS x, list(coalesce(b, 0)) OVER f AS y FROM s WINDOW f AS ({SERIES} ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)),
+    h AS (SELECT event_id, {hidden} FROM x WHERE whole)
+    SELECT event_id, round(1 / (1 + exp(({out[0]}) - ({out[1]}))), 4) AS p_wet FROM obs LEFT JOIN h USING (event_id)"""
+
+
+@query(_mlp_sql())
 def w7_mlp_wet_dry(spark, d):
     a, b = _weights((80, 8), (8, 2))
     layers = [("dense", (a, np.zeros(8))), ("relu", ()), ("dense", (b, np.zeros(2))), ("softmax", ())]
@@ -265,12 +299,26 @@ def _cnn(channels: int):
     return [("conv", (a, np.zeros(4))), ("relu", ()), ("meanpool", ()), ("dense", (b, np.zeros(1))), ("sigmoid", ())]
 
 
-@query()
+def _cnn_sql(frame: str, scaled: bool) -> str:
+    """The network of _cnn(2) over lists of 40 values of both columns in single precision."""
+    a, b = _weights((3, 2, 4), (4, 1))
+    part = lambda o: " + ".join(f"{name}[s + {k}]::DOUBLE * {float(a[k, c, o])!r}" for k in range(3) for c, name in enumerate("xy"))
+    pooled = " + ".join(f"{float(b[o, 0])!r} * list_sum(list_transform(range(1, 39), lambda s: greatest(0, {part(o)}))) / 38" for o in range(4))
+    scales = f"""n AS (SELECT value, tsl, sum(e) OVER ({SERIES} ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING) AS n FROM (SELECT *, (count(*) OVER ({SERIES} ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) = 40)::INT AS e FROM obs)),
+    m AS (SELECT sum(value * n) / sum(n) AS mx, sum(tsl * n) / sum(n) AS my FROM n), sp AS (SELECT sqrt(sum(pow(value - mx, 2) * n) / sum(n)) AS sx, sqrt(sum(pow(tsl - my, 2) * n) / sum(n)) AS sy FROM n, m),"""
+    x, y = ("((value::FLOAT - mx::FLOAT) / sx::FLOAT)::FLOAT", "((tsl::FLOAT - my::FLOAT) / sy::FLOAT)::FLOAT") if scaled else ("value::FLOAT", "tsl::FLOAT")
+    return f"""WITH {_O}, {scales if scaled else ''}
+    v AS (SELECT event_id, cml_id, channel_id, time, {x} AS x, {y} AS y FROM obs{', m, sp' if scaled else ''}),
+    w AS (SELECT event_id, CASE WHEN count(*) OVER f = 40 THEN list(x) OVER f END AS x, CASE WHEN count(*) OVER f = 40 THEN list(y) OVER f END AS y FROM v WINDOW f AS ({SERIES} ROWS BETWEEN {frame}))
+    SELECT event_id, CASE WHEN x IS NOT NULL THEN round(1 / (1 + exp(-({pooled}))), 4) END AS p_wet FROM w"""
+
+
+@query(_cnn_sql("39 PRECEDING AND CURRENT ROW", True))
 def w8_cnn_trailing(spark, d):
     return models.cnn_trailing(observations(spark, d), ["value", "tsl"], _cnn(2), 40, keys=("cml_id", "channel_id")).select("event_id", _r("p_wet", 4))
 
 
-@query()
+@query(_cnn_sql("34 PRECEDING AND 5 FOLLOWING", False))
 def w9_cnn_centred(spark, d):
     return models.cnn_centred(observations(spark, d), ["value", "tsl"], _cnn(2), 40, 12, keys=("cml_id", "channel_id")).select("event_id", _r("p_wet", 4))
 
@@ -520,9 +568,9 @@ def g3_blackout(spark, d):
     return blackout.blackout_mask(observations(spark, d), -52).select("event_id", "blackout")
 
 
-@query(f"WITH {_O}, {_MARKS}, {_MASKS} SELECT cml_id, count(*) FILTER (fw OR bw) AS n_blackout FROM fw JOIN bw USING (event_id) JOIN obs USING (event_id) GROUP BY ALL HAVING count(*) FILTER (fw OR bw) > 3")
+@query(f"WITH {_O}, {_MARKS}, {_MASKS} SELECT cml_id, count(*) FILTER (fw OR bw) AS n_blackout FROM fw JOIN bw USING (event_id) JOIN obs USING (event_id) GROUP BY ALL HAVING count(*) FILTER (fw OR bw) > 0")
 def g3_blackout_links(spark, d):
-    return blackout.blackout_minutes(blackout.blackout_mask(observations(spark, d), -52), least=3)
+    return blackout.blackout_minutes(blackout.blackout_mask(observations(spark, d), -52), least=0)
 
 
 # --- space
@@ -547,13 +595,18 @@ def _grid(spark):
     return spatial.make_grid(spark, (-0.2, 0.22), (-0.2, 0.22), 0.05)
 
 
-def _idw(where: str) -> str:
+def _idw(where: str, nnear: int = 8, power: str = "d * d") -> str:
     return f"""WITH {_POINTS}, {_GRID}, dd AS (SELECT yi, xi, point_id, z, sqrt(pow(gr.x - pt.x, 2) + pow(gr.y - pt.y, 2)) AS d FROM gr, pt WHERE z IS NOT NULL),
     rk AS (SELECT *, row_number() OVER (PARTITION BY yi, xi ORDER BY d, point_id) AS k FROM dd WHERE {where}),
-    v AS (SELECT yi, xi, sum(z / (d * d)) / sum(1 / (d * d)) AS value FROM rk WHERE k <= 8 GROUP BY ALL)
+    v AS (SELECT yi, xi, sum(z / ({power})) / sum(1 / ({power})) AS value FROM rk WHERE k <= {nnear} GROUP BY ALL)
     SELECT gr.yi, gr.xi, round(value, 6) AS value FROM gr LEFT JOIN v USING (yi, xi)"""
 
 
+@query(_idw("d < 0.1", 5, "d"))
+def p4_interpolate(spark, d):
+    return spatial.interpolate(_points(spark, d), _grid(spark), "idw", nnear=5, p=1, max_distance=0.1).select("yi", "xi", _r("value"))
+
+
 @query(_idw("true"))
 def p3_idw(spark, d):
     return spatial.interpolate_idw(_points(spark, d), _grid(spark), 8, 2).select("yi", "xi", _r("value"))
@@ -570,6 +623,23 @@ def p6_kriging(spark, d):
     return spatial.interpolate_kriging(p, _grid(spark), "time", {"sill": 0.02, "range": 0.3, "nugget": 0.002}).select("yi", "xi", "time", _r("value"), _r("sigma"))
 
 
+_GAMMA = "CASE WHEN {d} < 1e-10 THEN 0 WHEN {d} <= 0.3 THEN 0.018 * (1.5 * ({d} / 0.3) - 0.5 * pow({d} / 0.3, 3)) + 0.002 ELSE 0.02 END"
+
+
+@query(
+    f"""WITH {_POINTS}, {_GRID}, dd AS (SELECT yi, xi, point_id % 2 AS time, point_id, pt.x, pt.y, z, sqrt(pow(gr.x - pt.x, 2) + pow(gr.y - pt.y, 2)) AS d FROM gr, pt WHERE z IS NOT NULL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY yi, xi, time ORDER BY d, point_id) AS k FROM dd),
+    g AS (SELECT a.yi, a.xi, a.time, a.z AS z1, b.z AS z2, {_GAMMA.format(d='a.d')} AS g1, {_GAMMA.format(d='b.d')} AS g2, {_GAMMA.format(d='sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))')} AS g12
+      FROM rk a JOIN rk b ON a.yi = b.yi AND a.xi = b.xi AND a.time = b.time AND a.k = 1 AND b.k = 2),
+    w AS (SELECT *, 0.5 + (g2 - g1) / (2 * g12) AS w1 FROM g)
+    SELECT yi, xi, time, round(w1 * z1 + (1 - w1) * z2, 6) AS value, round(w1 * g1 + (1 - w1) * g2 + g1 - (1 - w1) * g12, 6) AS sigma FROM w"""
+)
+def p6_kriging_closest(spark, d):
+    """Kriging of the two closest points, whose systems have a closed form."""
+    p = _points(spark, d).withColumn("time", F.col("point_id") % 2)
+    return spatial.interpolate_kriging(p, _grid(spark), "time", {"sill": 0.02, "range": 0.3, "nugget": 0.002}, n_closest=2).select("yi", "xi", "time", _r("value"), _r("sigma"))
+
+
 @query(f"WITH {_GRID} SELECT yi, xi, round(x, 9) AS x, round(y, 9) AS y FROM gr")
 def p7_grid(spark, d):
     return _grid(spark).select("yi", "xi", _r("x", 9), _r("y", 9))
@@ -702,10 +772,11 @@ def v5_series_correlation(spark, d):
 
 
 def _index(spark, d):
-    return observations(spark, d).where("event_id % 50 = 0").select("time").distinct()
+    """Whole hours that have observations."""
+    return observations(spark, d).select(F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time")).distinct()
 
 
-_INDEX = "ix AS (SELECT DISTINCT time AS t FROM obs WHERE event_id % 50 = 0)"
+_INDEX = "ix AS (SELECT DISTINCT date_trunc('hour', time) AS t FROM obs)"
 
 
 @query(f"WITH {_O}, {_INDEX} SELECT cml_id, epoch_us(t) AS at, round(avg(value), 6) AS value FROM obs ASOF JOIN ix ON ix.t <= obs.time GROUP BY ALL")

@@ -68,6 +68,30 @@ def test_kriging(spark):
     assert spatial.interpolate_kriging(p.withColumn("z", F.lit(None).cast("double")), g).first().value is None
 
 
+def test_further_variogram_models():
+    d = np.array([0.0, 0.5, 1.0, 4.0])
+    v = {"sill": 1.5, "range": 3.0, "nugget": 0.5}
+    np.testing.assert_allclose(spatial.semivariance(d, v, "hole-effect"), [0, *(0.5 + 1 - (1 - x) * np.exp(-x) for x in (0.5, 1.0, 4.0))])
+    np.testing.assert_allclose(spatial.semivariance(d, {"scale": 2.0, "exponent": 1.5, "nugget": 0.5}, "power"), [0, *(0.5 + 2 * x**1.5 for x in (0.5, 1.0, 4.0))])
+
+
+def test_nearest_points_by_levels_of_squares(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW", 0)
+    rng = np.random.default_rng(4)
+    at = np.vstack([rng.uniform(0, 1, (60, 2)), rng.uniform(40, 41, (30, 2)), [[500.0, 3.0]]])
+    p = points(spark, [(*x, float(i)) for i, x in enumerate(at)]).withColumn("t", F.col("point_id") % 2)
+    g = grid_of(spark, [0.0, 0.4, 7.0, 40.2, 499.0], [0.0, 0.7, 40.5])
+    got = spatial.nearest_points(g, p, 7, None, ("t",)).collect()
+    found = {}
+    for r in got:
+        found.setdefault((r.yi, r.xi, r.t), []).append((r.d, r.point_id))
+    for c in g.collect():
+        for t in (0, 1):
+            want = sorted((float(np.hypot(c.x - x, c.y - y)), i) for i, (x, y) in enumerate(at.tolist()) if i % 2 == t)[:7]
+            assert [i for _, i in sorted(found[c.yi, c.xi, t])] == [i for _, i in want]
+    assert spatial.nearest_points(g, p.limit(0), 7, None, ("t",)).count() == 0
+
+
 def test_the_kriging_query_uses_all_points(spark, tmp_path):
     from linkrain.plans import registry
 
