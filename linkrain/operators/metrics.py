@@ -37,7 +37,10 @@ def wet_dry_metrics(df: DataFrame, reference: str = "reference", predicted: str
 
 
 def rain_metrics(df: DataFrame, threshold: float, reference: str = "reference", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
-    """Correlation, coefficient of variation, errors, sums, means, wet rates; above threshold is wet."""
+    """Correlation, coefficient of variation, errors, sums, means, wet rates; above threshold is wet.
+
+    Pairs with a null or NaN count as such and enter nothing else; what has no case is null.
+    """
     ok = F.col("__ok")
     r, p = F.when(ok, F.col("__r")), F.when(ok, F.col("__p"))
     wet_r, wet_p = r > threshold, p > threshold

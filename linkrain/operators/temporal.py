@@ -18,14 +18,17 @@ def assign_times(df: DataFrame, index: DataFrame, label: str = "right", keys: tu
 
     index: times, for each key if it has the keys, else for all. The as-of join is a union of both, sorted
     within buckets of time, so no row meets more than its own time and no key is in one task; what lies in
-    another bucket comes from a table of the buckets' first and last index times.
+    another bucket comes from a table of the buckets' first and last index times. Where the index lacks keys, the
+    distinct times are assigned once and rows look theirs up, so the index is never copied for each key. A
+    null time has none.
     """
     if label not in ("left", "right"):
         raise ValueError("label is left or right")
-    times = index.select(*(k for k in keys if k in index.columns), time).distinct()
-    missing = [k for k in keys if k not in index.columns]
-    if missing:
-        times = df.select(*keys).distinct().join(times, [k for k in keys if k not in missing] or F.lit(True))
+    own = tuple(k for k in keys if k in index.columns)
+    if len(own) < len(keys):
+        found = assign_times(df.select(*own, time).distinct(), index, label, own, time, out, width)
+        return df.join(found, [*own, time], "left").select(*df.columns, out)
+    times = index.select(*keys, time).distinct()
     right = label == "right"
     df, times = df.withColumn("__b", _bucket(df, time, width)), times.withColumn("__b", _bucket(times, time, width))
     both = df.withColumn("__i", F.lit(False)).unionByName(times.withColumn("__i", F.lit(True)), allowMissingColumns=True)
@@ -57,5 +60,5 @@ def aggregate_onto(df: DataFrame, index: DataFrame, aggregates: dict[str, Column
 
 
 def resample_to(df: DataFrame, index: DataFrame, columns: list[str], label: str = "right", keys: tuple[str, ...] = (), time: str = "time") -> DataFrame:
-    """Means of columns at the times of index."""
+    """Means of columns' valid values at the times of index; null where there is none."""
     return aggregate_onto(df, index, {c: F.avg(c) for c in columns}, label, keys, time, crop=False)

@@ -42,6 +42,7 @@ def mask_sentinels(df: DataFrame, **valid: Column) -> DataFrame:
 
 
 def total_loss(tsl: Column, rsl: Column) -> Column:
+    """Null where either level is."""
     return tsl - rsl
 
 
@@ -52,7 +53,7 @@ def clamp(att: Column, null_as_zero: bool = False) -> Column:
 
 
 def between_times(df: DataFrame, start, stop, time: str = "time") -> DataFrame:
-    """Rows from start to stop, both included."""
+    """Rows from start to stop, both included; rows of null time go."""
     return df.where(F.col(time).between(start, stop))
 
 
@@ -100,7 +101,7 @@ def resample(df: DataFrame, width: str, aggregates: dict[str, Column], keys=KEYS
 
 
 def concat(*frames: DataFrame) -> DataFrame:
-    """Rows of all frames; columns that a frame lacks are null."""
+    """Rows of all frames, nulls and repeated rows too; columns that a frame lacks are null."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -108,7 +109,7 @@ def concat(*frames: DataFrame) -> DataFrame:
 
 
 def merge(left: DataFrame, right: DataFrame, keys=(*KEYS, "time")) -> DataFrame:
-    """Columns of both by keys, rows of left."""
+    """Columns of both by keys, rows of left; right columns are null where right has no such keys, as for null keys."""
     return left.join(right, [*keys], "left")
 
 
@@ -142,7 +143,7 @@ def event_edges(df: DataFrame, wet: str = "wet", keys=KEYS, time: str = "time")
 
 
 def detrend(df: DataFrame, column: str, out: str, keys=KEYS) -> DataFrame:
-    """Minus the median of the series."""
+    """Minus the median of the series' valid values; null stays null."""
     medians = df.groupBy(*keys).agg(F.percentile(column, F.lit(0.5)).alias("__m"))
     return df.join(medians, [*keys]).withColumn(out, F.col(column) - F.col("__m")).drop("__m")
 
@@ -159,7 +160,7 @@ def more_likely(p_dry: Column, p_wet: Column) -> Column:
 
 
 def debounce(df: DataFrame, seconds: float, keys=("cml_id",), time: str = "time") -> DataFrame:
-    """Rows that no other row of the series follows within so many seconds."""
+    """Rows that no other row of the series follows within so many seconds; rows of null time stay."""
     gap = F.unix_micros(F.lead(F.col(time).cast("timestamp")).over(series(keys, time))) - F.unix_micros(F.col(time).cast("timestamp"))
     return df.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > int(seconds * 1_000_000))).drop("__gap")
 
@@ -171,7 +172,7 @@ def histogram(df: DataFrame, widths: dict[str, float]) -> DataFrame:
 
 
 def centre(links: DataFrame) -> DataFrame:
-    """Mean of both sites' coordinates as lon and lat."""
+    """Mean of both sites' coordinates as lon and lat; null where either is."""
     return links.withColumns({"lon": (F.col("site_a_lon") + F.col("site_b_lon")) / 2, "lat": (F.col("site_a_lat") + F.col("site_b_lat")) / 2})
 
 

@@ -1,5 +1,8 @@
 """Interpolation, coverage, path weights, metrics, learned models, streams."""
 
+import sys
+import types
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -79,7 +82,7 @@ def test_nearest_points_by_levels_of_squares(spark, monkeypatch):
     monkeypatch.setattr(spatial, "FEW", 0)
     rng = np.random.default_rng(4)
     at = np.vstack([rng.uniform(0, 1, (60, 2)), rng.uniform(40, 41, (30, 2)), [[500.0, 3.0]]])
-    p = points(spark, [(*x, float(i)) for i, x in enumerate(at)]).withColumn("t", F.col("point_id") % 2)
+    p = points(spark, [(*x, float(i)) for i, x in enumerate(at)]).withColumn("point_id", F.col("point_id").cast("int")).withColumn("t", F.col("point_id") % 2)
     g = grid_of(spark, [0.0, 0.4, 7.0, 40.2, 499.0], [0.0, 0.7, 40.5])
     got = spatial.nearest_points(g, p, 7, None, ("t",)).collect()
     found = {}
@@ -253,3 +256,74 @@ for q in ("a3_waa_leijnse_from_observed", "a5_waa_pastorek_from_observed", "b1_b
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+class FakeLink(dict):
+    def __init__(self, attrs, parts):
+        super().__init__(parts)
+        self.attrs = attrs
+
+
+def test_hdf5_reader_gives_batches(monkeypatch):
+    seconds = np.array([0.0, 60.0, 120.5])
+    channel = FakeLink({"frequency": 18.5e9, "polarization": "V"}, {"time": seconds, "tx": np.array([1, 2, 3]), "rx": np.array([-40.0, np.nan, -42.0])})
+    where = {"site_a_latitude": 50.0, "site_a_longitude": 7.0, "site_b_latitude": 50.1, "site_b_longitude": 7.1}
+    tree = {f"cml_{i}": FakeLink({"id": f"l{i}"} | where, {"channel_1": channel, "product_1": {}}) for i in range(3)}
+
+    class File(dict):
+        def __init__(self, path, mode):
+            super().__init__(tree)
+
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *_: None
+
+    fake = types.ModuleType("h5py")
+    fake.File = File
+    monkeypatch.setitem(sys.modules, "h5py", fake)
+    monkeypatch.setattr(files, "_ROWS", 2)
+    reader = files._Hdf5Reader("file", 2)
+    parts = reader.partitions()
+    assert [p.names for p in parts] == [["cml_0", "cml_1"], ["cml_2"]]
+    batches = [b for p in parts for b in reader.read(p)]
+    assert [b.num_rows for b in batches] == [2, 1] * 3
+    names = [f.split(" ")[0] for f in files.CmlHdf5.schema(None).split(", ")]
+    assert all(b.schema.names == names for b in batches)
+    row = batches[-1].to_pylist()[0]
+    assert row["cml_id"] == "l2" and row["frequency_ghz"] == 18.5 and row["site_b_lon"] == 7.1 and row["time_ns"] == 120_500_000_000 and row["rsl"] == -42.0
+
+
+def test_netcdf_reader_gives_batches(monkeypatch):
+    import datetime
+
+    class Variable:
+        def __init__(self, dimensions, values, units=None):
+            self.dimensions, self.values, self.units = dimensions, values, units
+
+        def __getitem__(self, at):
+            return self.values[at]
+
+    levels = np.ma.masked_less(np.arange(12.0).reshape(2, 3, 2), 1)  # cml_id, time, channel_id
+    variables = {
+        "cml_id": Variable(("cml_id",), np.array(["a", "b"])), "channel_id": Variable(("channel_id",), np.array(["c1", "c2"])), "time": Variable(("time",), np.arange(3), "minutes"),
+        "tsl": Variable(("cml_id", "time", "channel_id"), levels), "rsl": Variable(("cml_id", "time", "channel_id"), -levels),
+        "length": Variable(("cml_id",), np.array([4.5, 7.0])), "frequency": Variable(("cml_id", "channel_id"), np.array([[10.0, 11.0], [12.0, 13.0]])), "polarization": Variable(("channel_id", "cml_id"), np.array([["H", "V"], ["V", "H"]])),
+    }
+
+    class Dataset(dict):
+        def __init__(self, path):
+            super().__init__(variables)
+            self.variables, self.dimensions = variables, {"cml_id": [0, 0]}
+
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *_: None
+
+    fake = types.ModuleType("netCDF4")
+    fake.Dataset = Dataset
+    fake.num2date = lambda t, units, **how: [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=int(x)) for x in t]
+    monkeypatch.setitem(sys.modules, "netCDF4", fake)
+    reader = files._NetcdfReader("file", 1)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 12 and [*rows[0]] == [f.split(" ")[0] for f in files.CmlNetcdf.schema(None).split(", ")]
+    first, last = rows[0], rows[-1]
+    assert first["cml_id"] == "a" and np.isnan(first["tsl"]) and first["frequency_ghz"] == 10.0 and first["polarization"] == "H" and np.isnan(first["site_a_lat"])
+    assert last["cml_id"] == "b" and last["channel_id"] == "c2" and last["tsl"] == 11.0 and last["length_km"] == 7.0 and last["polarization"] == "H" and last["time"] == datetime.datetime(2024, 1, 1, 0, 2)
