@@ -1,10 +1,13 @@
-"""License scans: lines and whole texts compared to licence templates by Dice's coefficient over word bigrams.
-
-Texts and templates are normalised alike: all that is no ASCII letter or digit and no character beyond ASCII
-is a blank, and letters are lower case. With n bigrams in a unit and m in a template, counted with repetitions,
-the coefficient is twice the common ones by n + m, at most 2 min(n, m) / (n + m); templates whose size rules
-the threshold out are not compared, and of a unit's bigrams only those of any template are kept. All of it are column expressions; there
-is no shuffle.
+"""License scans: units of texts compared to licence templates by Dice's coefficient over word bigrams.
+
+Units are lines, the whole text, and windows of words of a template's size, so that a notice is found where it is
+wrapped over lines or stands within a longer one. Texts and templates are normalised alike: all that is no
+ASCII letter or digit and no character beyond ASCII is a blank, and letters are lower case. With n bigrams in a
+unit and m in a template, counted with repetitions, the coefficient is twice the common ones by n + m, at most
+2 min(n, m) / (n + m); templates whose size rules the threshold out are not compared, and of a unit's bigrams
+only those of any template are kept. A window begins at a bigram of its template, and a template has windows only
+in texts with as many of its bigrams as the least size allows. All of it are column expressions; there is no
+shuffle.
 """
 
 from __future__ import annotations
@@ -56,14 +59,15 @@ def _literal(rows: list[tuple[int, str, Counter]]) -> Column:
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of documents and license, dice, unit (0: the whole text, else the line's number) of the best match.
+    """All columns of documents and license, dice, unit of the best match.
 
-    n_matches counts the pairs of unit and template that reach the threshold. The best has the highest
-    coefficient, then the first template by name, then the first unit.
+    unit is 0 for the whole text, a line's number, or for a window minus the number of its first word. n_matches
+    counts the pairs of unit and template that reach the threshold. The best has the highest coefficient, then
+    the first template by name, then the first of text, lines and windows.
 
     Cases: null and empty texts, and units of fewer than two words, match nothing (nulls, n_matches 0); a text
-    of one line is scanned as line 1 only; repeated rows are scanned each; without templates nothing matches.
-    Columns with the names of new ones are replaced.
+    of one line is no whole text; repeated rows are scanned each; without templates nothing matches; the words
+    of a text of any length are in memory at once. Columns with the names of new ones are replaced.
     """
     rows = template_rows(TEMPLATES if templates is None else templates)
     new = ("license", "dice", "unit", "n_matches")
@@ -101,18 +105,56 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, threshol
 
         def match(t: Column) -> Column:
             common = F.aggregate(t["grams"], F.lit(0), lambda acc, g: acc + F.least(g["n"], F.size(F.filter(u["grams"], lambda x: x == g["g"]))))
-            return F.struct((F.lit(2.0) * common / (u["n"] + t["m"])).alias("dice"), (-t["i"]).alias("i"), (-u["unit"]).alias("unit"), t["name"].alias("license"))
+            return F.struct((F.lit(2.0) * common / (u["n"] + t["m"])).alias("dice"), (-t["i"]).alias("i"), (-u["unit"]).alias("order"), u["unit"].alias("unit"), t["name"].alias("license"))
 
         return F.transform(fit, match)
 
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  x is evaluated once
+
+    def windows(words: Column) -> Column:
+        """Matches of windows of words, of all templates of which the text has enough bigrams."""
+        total = F.size(words) - 1
+        grams = F.zip_with(F.slice(words, 1, F.greatest(total, F.lit(0))), F.slice(words, 2, F.greatest(total, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        marked = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("at"))), lambda x: x["g"].isin(known))
+
+        def in_text(marked: Column) -> Column:
+            def of_template(t: Column) -> Column:
+                names = F.transform(t["grams"], lambda g: g["g"])
+                return bound(F.filter(marked, lambda x: F.array_contains(names, x["g"])), lambda own: F.transform(own, lambda x, k: at_start(t, own, x, k)))
+
+            def at_start(t: Column, own: Column, x: Column, k: Column) -> Column:
+                n = F.least(t["m"], total - x["at"])
+                # a window has at most m of the bigrams that follow
+                inside = F.filter(F.slice(own, k + 1, t["m"]), lambda y: y["at"] < x["at"] + t["m"])
+
+                def scored(inside: Column) -> Column:
+                    common = F.aggregate(t["grams"], F.lit(0), lambda acc, g: acc + F.least(g["n"], F.size(F.filter(inside, lambda y: y["g"] == g["g"]))))
+                    common = F.when(F.lit(2.0) * F.size(inside) / (n + t["m"]) >= threshold, common).otherwise(0)
+                    unit = -x["at"] - 1
+                    return F.struct((F.lit(2.0) * common / (n + t["m"])).alias("dice"), (-t["i"]).alias("i"), (unit - (1 << 30)).alias("order"), unit.alias("unit"), t["name"].alias("license"))
+
+                return bound(inside, scored)
+
+            def enough(seen: Column) -> Column:
+                there = lambda t: F.aggregate(t["grams"], F.lit(0), lambda acc, g: acc + F.when(F.array_contains(seen, g["g"]), g["n"]).otherwise(0))
+                return F.filter(literal, lambda t: there(t) >= low * t["m"])
+
+            # few texts have enough bigrams of any template
+            fit = bound(F.array_distinct(F.transform(marked, lambda x: x["g"])), enough)
+            return F.flatten(F.transform(fit, of_template))
+
+        return bound(marked, in_text)
+
     text = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), _OTHER, " "))
     lines = F.transform(F.array(F.transform(F.split(text, "\n"), with_count)), with_whole)[0]
     chosen = F.filter(lines, lambda u: (u["n"] >= least) & (u["n"] <= most))
     matches = F.flatten(F.transform(F.transform(chosen, with_grams), compared))
+    words = F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    matches = F.concat(matches, bound(words, windows))
     found = documents.withColumn("__m", F.filter(matches, lambda m: m["dice"] >= threshold))
     best = F.transform(F.array("__m"), lambda m: F.struct(F.array_max(m).alias("best"), F.size(m).alias("n")))[0]
     found = found.withColumn("__m", best)
-    return found.select(*documents.columns, F.col("__m.best.license").alias("license"), F.col("__m.best.dice").alias("dice"), (-F.col("__m.best.unit")).alias("unit"), F.col("__m.n").alias("n_matches"))
+    return found.select(*documents.columns, F.col("__m.best.license").alias("license"), F.col("__m.best.dice").alias("dice"), F.col("__m.best.unit").alias("unit"), F.col("__m.n").alias("n_matches"))
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
@@ -136,8 +178,17 @@ def _sql() -> str:
     fit AS (SELECT r, unit, w, len(w) - 1 AS n, i, name, m FROM split JOIN sizes ON len(w) > 1 AND 2.0::DOUBLE * least(len(w) - 1, m) / (len(w) - 1 + m) >= {THRESHOLD!r}::DOUBLE),
     own AS (SELECT r, unit, i, g, count(*) AS c FROM (SELECT r, unit, i, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM fit) GROUP BY ALL),
     common AS (SELECT r, unit, i, sum(least(c, k)) AS s FROM own JOIN grams USING (i, g) GROUP BY ALL),
-    match AS (SELECT fit.r, fit.unit, fit.i, name, 2.0::DOUBLE * s::DOUBLE / (n + m) AS dice FROM fit JOIN common USING (r, unit, i) WHERE 2.0::DOUBLE * s::DOUBLE / (n + m) >= {THRESHOLD!r}::DOUBLE),
-    best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, i, unit) AS place, count(*) OVER (PARTITION BY r) AS n_matches FROM match)
+    words AS (SELECT r, list_filter(string_split(replace(t, chr(10), ' '), ' '), lambda x: x != '') AS w FROM docs),
+    pairs AS (SELECT r, len(w) - 1 AS total, unnest(range(1, len(w))) AS p, unnest(list_transform(range(1, len(w)), lambda x: w[x] || ' ' || w[x + 1])) AS g FROM words),
+    own_pairs AS (SELECT r, total, p, pairs.g, i, k, m FROM pairs JOIN grams USING (g) JOIN sizes USING (i)),
+    starts AS (SELECT r, p, i, m, least(m, total - p + 1) AS n FROM own_pairs),
+    inside AS (SELECT s.r, s.p, s.i, any_value(s.m) AS m, any_value(s.n) AS n, o.g, least(count(*), any_value(o.k)) AS c
+      FROM starts s JOIN own_pairs o ON o.r = s.r AND o.i = s.i AND o.p >= s.p AND o.p < s.p + s.m GROUP BY s.r, s.p, s.i, o.g),
+    placed AS (SELECT r, -p AS unit, i, any_value(m) AS m, any_value(n) AS n, sum(c) AS s FROM inside GROUP BY r, p, i),
+    match AS (
+      SELECT fit.r, fit.unit, fit.i, name, 2.0::DOUBLE * s::DOUBLE / (n + m) AS dice FROM fit JOIN common USING (r, unit, i) WHERE 2.0::DOUBLE * s::DOUBLE / (n + m) >= {THRESHOLD!r}::DOUBLE
+      UNION ALL SELECT placed.r, unit, placed.i, name, 2.0::DOUBLE * s::DOUBLE / (n + placed.m) FROM placed JOIN sizes USING (i) WHERE 2.0::DOUBLE * s::DOUBLE / (n + placed.m) >= {THRESHOLD!r}::DOUBLE),
+    best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, i, unit < 0, abs(unit)) AS place, count(*) OVER (PARTITION BY r) AS n_matches FROM match)
     SELECT doc_id, name AS license, dice, unit::INT AS unit, coalesce(n_matches, 0)::INT AS n_matches FROM docs LEFT JOIN (SELECT * FROM best WHERE place = 1) AS b USING (r)
     """
 

@@ -389,18 +389,39 @@ def plain_scan(text, templates, threshold):
     words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", lower(t))
     lines = (text or "").split("\n")
     best, n = None, 0
-    for unit, line in [*enumerate(lines, 1), *([(0, text)] if len(lines) > 1 else [])]:
-        w = words(line)
-        a = [*zip(w, w[1:])]
-        for i, (name, t) in enumerate(sorted(templates.items())):
-            x = words(t)
-            b = [*zip(x, x[1:])]
-            if a and b:
-                dice = 2.0 * sum(min(a.count(g), b.count(g)) for g in set(b)) / (len(a) + len(b))
-                if dice >= threshold:
-                    n += 1
-                    best = max(best or (0,), (dice, -i, -unit, name))
-    return (best[3], best[0], -best[2], n) if best else (None, None, None, 0)
+
+    def compare(a, b, i, order, unit, name):
+        nonlocal best, n
+        dice = 2.0 * sum(min(a.count(g), b.count(g)) for g in set(b)) / (len(a) + len(b))
+        if dice >= threshold:
+            n += 1
+            best = max(best or (0,), (dice, -i, order, unit, name))
+
+    whole = words(text)
+    whole = [*zip(whole, whole[1:])]
+    for i, (name, t) in enumerate(sorted(templates.items())):
+        b = words(t)
+        b = [*zip(b, b[1:])]
+        for unit, line in [*enumerate(lines, 1), *([(0, text)] if len(lines) > 1 else [])]:
+            a = words(line)
+            if len(a) > 1 and b:
+                compare([*zip(a, a[1:])], b, i, -unit, unit, name)
+        for p, g in enumerate(whole):
+            if g in b:
+                compare(whole[p : p + len(b)], b, i, -(1 << 30) - p, -p - 1, name)
+    return (best[4], best[0], best[3], n) if best else (None, None, None, 0)
+
+
+def test_wrapped_notices_are_found(spark):
+    words = licenses.TEMPLATES["MIT-text"].split(" ")
+    wrapped = "\n".join("# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    code = "\n".join(f"x{i} = f(y{i}, {i})" for i in range(400))
+    rows = [(1, wrapped + "\n" + code), (2, code), (3, "See below. " + licenses.TEMPLATES["MIT"] + " And so on, of the software. " * 40), (4, "the software " * 20_000), (5, (wrapped + "\n") * 30)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1].license == "MIT-text" and got[1].dice == 1.0 and got[1].unit == -1
+    assert got[3].license == "MIT" and got[3].unit == -3
+    assert got[2].license is None and got[4].license is None and got[5].license == "MIT-text" and got[5].n_matches >= 30
+    assert licenses.scan(spark.createDataFrame(rows, DOCS).limit(0)).count() == 0
 
 
 def test_licence_scan(spark):
