@@ -1,8 +1,10 @@
 """Learned wet/dry classifiers: windows of levels, feature scaling, and scoring with a user's weights.
 
 A network is a list of layers, kept as arrays in an .npz file (see linkrain.sources.models): "dense" and "conv"
-with weights and bias, "relu", "sigmoid", "softmax", "flatten", "maxpool" and "meanpool". Weights go to the
-executors once; batches are scored in Arrow.
+with weights and bias, "convsame" (ends padded with zeros, so that the number of steps stays), "batchnorm" (scale,
+offset, mean, variance and epsilon of inference), "lstm" (weights of input and state, bias; gates in the order
+input, forget, cell, output; the last state), "relu", "tanh", "sigmoid", "softmax", "flatten", "maxpool",
+"meanpool". Other layers are not read. Weights go to the executors once; batches are scored in Arrow.
 """
 
 from __future__ import annotations
@@ -24,12 +26,21 @@ def forward(layers: Layers, x: np.ndarray) -> np.ndarray:
     for kind, arrays in layers:
         if kind == "dense":
             x = x @ arrays[0] + arrays[1]
-        elif kind == "conv":
+        elif kind in ("conv", "convsame"):
             k = arrays[0].shape[0]
+            if kind == "convsame":
+                x = np.pad(x, ((0, 0), ((k - 1) // 2, k // 2), (0, 0)))
             view = np.lib.stride_tricks.sliding_window_view(x, k, axis=1)
             x = np.einsum("nsck,kco->nso", view, arrays[0], optimize=True) + arrays[1]
+        elif kind == "batchnorm":
+            scale, offset, mean, variance, epsilon = arrays
+            x = (x - mean) / np.sqrt(variance + epsilon) * scale + offset
+        elif kind == "lstm":
+            x = lstm(x, *arrays)
         elif kind == "relu":
             x = np.maximum(x, 0)
+        elif kind == "tanh":
+            x = np.tanh(x)
         elif kind == "sigmoid":
             x = 1 / (1 + np.exp(-x))
         elif kind == "softmax":
@@ -47,6 +58,17 @@ def forward(layers: Layers, x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lstm(x: np.ndarray, by_input: np.ndarray, by_state: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The state after the last step of (rows, steps, channels)."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    state = cell = np.zeros((len(x), by_state.shape[0]))
+    for step in range(x.shape[1]):
+        i, f, c, o = np.split(x[:, step] @ by_input + state @ by_state + bias, 4, axis=1)
+        cell = sigmoid(f) * cell + sigmoid(i) * np.tanh(c)
+        state = sigmoid(o) * np.tanh(cell)
+    return state
+
+
 def window_array(column: str, first: int, last: int, w: WindowSpec) -> Column:
     """Values of rows first to last around a row, null unless all are there and valid."""
     frame = w.rowsBetween(first, last)

@@ -1,4 +1,7 @@
-"""Power law, wet antenna attenuation, variogram: published example values."""
+"""Power law, wet antenna attenuation, variogram: published example values.
+
+Numbers that results are compared with, where no loop makes them, are fixed values: published example results.
+"""
 
 import numpy as np
 import pandas as pd

@@ -1,4 +1,7 @@
-"""Operators over series against plain loops and published example values."""
+"""Operators over series against plain loops and published example values.
+
+Numbers that results are compared with, where no loop makes them, are fixed values: published example results.
+"""
 
 import random
 

@@ -1,4 +1,7 @@
-"""Interpolation, coverage, path weights, metrics, learned models, streams."""
+"""Interpolation, coverage, path weights, metrics, learned models, streams, readers.
+
+Numbers that results are compared with, where no loop makes them, are fixed values: published example results.
+"""
 
 import sys
 import types
@@ -327,3 +330,24 @@ def test_netcdf_reader_gives_batches(monkeypatch):
     first, last = rows[0], rows[-1]
     assert first["cml_id"] == "a" and np.isnan(first["tsl"]) and first["frequency_ghz"] == 10.0 and first["polarization"] == "H" and np.isnan(first["site_a_lat"])
     assert last["cml_id"] == "b" and last["channel_id"] == "c2" and last["tsl"] == 11.0 and last["length_km"] == 7.0 and last["polarization"] == "H" and last["time"] == datetime.datetime(2024, 1, 1, 0, 2)
+
+
+def test_further_layers():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2, 5, 3))
+    kernel, bias = rng.normal(size=(4, 3, 2)), rng.normal(size=2)
+    got = models.forward([("convsame", (kernel, bias)), ("tanh", ())], x)
+    for n in range(2):
+        for s in range(5):
+            want = bias + sum(x[n, s + k - 1] @ kernel[k] for k in range(4) if 0 <= s + k - 1 < 5)
+            np.testing.assert_allclose(got[n, s], np.tanh(want))
+    scale, offset, mean, variance = rng.uniform(1, 2, (4, 3))
+    np.testing.assert_allclose(models.forward([("batchnorm", (scale, offset, mean, variance, np.array(1e-3)))], x)[1, 2], [(x[1, 2, c] - mean[c]) / (variance[c] + 1e-3) ** 0.5 * scale[c] + offset[c] for c in range(3)])
+    w, u, b = rng.normal(size=(3, 8)), rng.normal(size=(2, 8)), rng.normal(size=8)
+    h, c = [0.0, 0.0], [0.0, 0.0]
+    for s in range(5):
+        z = [sum(x[0, s, k] * w[k, j] for k in range(3)) + sum(h[k] * u[k, j] for k in range(2)) + b[j] for j in range(8)]
+        one = lambda v: 1 / (1 + np.exp(-v))
+        c = [one(z[2 + j]) * c[j] + one(z[j]) * np.tanh(z[4 + j]) for j in range(2)]
+        h = [one(z[6 + j]) * np.tanh(c[j]) for j in range(2)]
+    np.testing.assert_allclose(models.forward([("lstm", (w, u, b))], x)[0], h)
