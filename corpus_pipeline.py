@@ -11,20 +11,34 @@ from linkrain.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def documents_of(docs: DataFrame) -> DataFrame:
+    """The columns of documents; one that is not there is null, n_chars is counted. Other columns go, whatever their names."""
+    kinds = {"doc_id": "long", "n_chars": "long"}
+    made = {"n_chars": F.length("text").cast("long")}
+    return docs.select(*(F.col(c) if c in docs.columns else made.get(c, F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in COLUMNS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which a language is found, and it as lang; null texts and texts without letters go."""
-    found = langid.identify(docs.select(*COLUMNS), langid.learn(docs)).where("lang_pred != 'und'")
+    """Texts in which a language is found, and it as lang; null texts and texts without letters go.
+
+    Repeated rows are judged each; without a labelled text all go; an empty table gives none.
+    """
+    docs = documents_of(docs)
+    found = langid.identify(docs, langid.learn(docs)).where("lang_pred != 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash component; documents without an id stay."""
-    return simhash.deduplicate(docs.select(*COLUMNS))
+    """The document of the smallest id of each SimHash component, one of repeated rows; documents without an id stay."""
+    return simhash.deduplicate(documents_of(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes of 100-byte strings that start earlier; broken characters at the cuts go, and texts of which nothing is left."""
-    cut = suffixes.remove_repeats(docs, keep=("doc_id", "lang", "source"))
+    """Texts without bytes of 100-byte strings that start earlier; broken characters at the cuts go, and texts of which nothing is left.
+
+    Of repeated rows the first keeps its text; null ids come last.
+    """
+    cut = suffixes.remove_repeats(documents_of(docs), keep=("doc_id", "lang", "source"))
     return cut.withColumn("text", valid_text("kept")).where("n_removed = 0 or length(text) > 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -34,13 +48,13 @@ def valid_text(name: str):
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are not contaminated by the benchmark."""
-    return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(*COLUMNS)
+    """Texts that are not contaminated by the benchmark; repeated rows are judged each, null and empty texts stay."""
+    return decontaminate.decontaminate(documents_of(docs), table(spark, sf_dir, "benchmark")).where("not contaminated").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
-    return bpe.bpe_encode(docs, bpe.vocabulary_path(), keep=("doc_id", "lang", "source"))
+    """Token ids of every text with its id, language and source; repeated rows stay, a null text has no tokens."""
+    return bpe.bpe_encode(documents_of(docs), bpe.vocabulary_path(), keep=("doc_id", "lang", "source"))
 
 
 STAGES = [
