@@ -371,6 +371,10 @@ def test_pipeline(spark, tmp_path):
     ids = {n: {r.doc_id for r in rs} for n, rs in held.items()}
     every = {r[0] for r in rows}
     assert every - ids["language ID"] == {203, 204}
+    from test_text_operators import plain_languages
+
+    plain = {i: la for i, la, *_ in plain_languages(rows, 12.0)}
+    assert all(r.lang == plain[r.doc_id] for r in held["language ID"])
     fp = {i: int(simhash.fingerprints([t.encode()])[0]) for i, t, _ in rows if i in ids["language ID"]}
     kept = set()
     for i in sorted(fp):
@@ -391,3 +395,22 @@ def test_pipeline(spark, tmp_path):
     assert len(words) >= 50
     assert ids["BPE"] == ids["benchmark decontamination"]
     assert {tuple(r) for r in corpus_pipeline.run(spark, folder).select("doc_id", "ids_sha256").collect()} == {(r.doc_id, r.ids_sha256) for r in held["BPE"]}
+
+
+def test_pipeline_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "one item of a benchmark"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    long = "many words of a long text that repeat " * 3000
+    rows = [(1, "a text in some words", "en", "s"), (1, "a text in some words", "en", "s"), (2, None, "en", None), (3, "", None, "s"), (None, "words without an id", None, "s"), (4, long, "en", "s"), (5, "42", "en", "s")]
+    # neither n_chars nor clean names of further columns
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("clash") for c in ("lang_pred", "n_hit", "bucket", "th", "fp", "n_tokens", "__text")})
+    for df, some in ((docs, True), (docs.limit(0), False)):
+        at = df
+        for name, stage in corpus_pipeline.STAGES:
+            at = common.stored(stage(spark, at, folder))
+            assert at.columns == list(corpus_pipeline.COLUMNS) or name == "BPE"
+            assert (at.count() > 0) == some
+    ids = sorted(repr(r.doc_id) for r in common.stored(corpus_pipeline.near_duplicates(spark, docs, folder)).collect())
+    assert ids == sorted(map(repr, [1, 2, 4, 5, None]))

@@ -1,9 +1,12 @@
 """Operators over documents against plain versions, and their cases."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -371,6 +374,80 @@ def test_viterbi_is_the_best_path():
         assert s[np.arange(len(s)), path].sum() - p * np.count_nonzero(np.diff(path)) == pytest.approx(v.max())
 
 
+def plain_languages(rows, penalty):
+    """The query's rules without tables: counts, scripts, smoothed likelihoods, the best path by trying every change."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    parts = lambda w: [f"_{w}_"[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n)] + ["=" + w] * (len(w) <= 8)
+    kind = lambda g: 0 if g[0] == "=" else len(g)
+    known = [(t, la) for i, t, la in rows if la is not None and i is not None and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({la for _, la in known})
+    counts = {la: Counter(g for t, x in known if x == la for w in words(t) for g in parts(w)) for la in langs}
+    scripts = {la: Counter() for la in langs}
+    for t, la in known:
+        for w in words(t):
+            scripts[la][langid.script(w)] += len(w)
+    every = {g for c in counts.values() for g in c}
+    kinds = Counter(map(kind, every))
+    totals = {la: Counter() for la in langs}
+    for la, c in counts.items():
+        for g, n in c.items():
+            totals[la][kind(g)] += n
+
+    def likely(w):
+        out = [sum(math.log(counts[la][g] + 1) - math.log(totals[la][kind(g)] + kinds[kind(g)] + 1) for g in parts(w) if kind(g) in kinds) / 2 for la in langs]
+        ok = [scripts[la][langid.script(w)] >= 0.01 * sum(scripts[la].values()) for la in langs]
+        seen = any(scripts[la][langid.script(w)] for la in langs)
+        return [x if y or not any(ok) or not seen else max(out) - 50 for x, y in zip(out, ok)]
+
+    found = []
+    for i, t, _ in rows:
+        w = words(t)
+        if not langs or not any(c.isalpha() for c in t or "") or not w:
+            found.append((i, "und", 0.0, []))
+            continue
+        s = [likely(x) for x in w]
+        best, back = s[0], []
+        for row in s[1:]:
+            to = [max(range(len(langs)), key=lambda j: (best[j] - penalty * (j != k), j == k)) for k in range(len(langs))]
+            best = [best[j] - penalty * (j != k) + row[k] for k, j in enumerate(to)]
+            back.append(to)
+        path = [max(range(len(langs)), key=lambda k: (best[k], -k))]
+        for to in reversed(back):
+            path.append(to[path[-1]])
+        path.reverse()
+        letters = [sum(len(x) for x, k in zip(w, path) if k == j) for j in range(len(langs))]
+        top = max(range(len(langs)), key=lambda j: (letters[j], -j))
+        sure = sum(math.exp(r[top]) / sum(map(math.exp, r)) if max(r) > -600 else math.exp(r[top] - max(r)) / sum(math.exp(x - max(r)) for x in r) for r in s) / len(s)
+        cuts = [k for k in range(len(path)) if k == 0 or path[k] != path[k - 1]] + [len(path)]
+        found.append((i, langs[top], sure, [(langs[path[x]], x, y - x) for x, y in zip(cuts, cuts[1:])]))
+    return found
+
+
+def test_languages_are_the_plain_ones(spark):
+    rng = random.Random(16)
+    makes = {"aa": ["tion", "the", "ing", "er"], "bb": ["sch", "ein", "the", "er"], "cc": ["при", "вет", "мир"], "dd": ["мир", "ца", "sch"]}
+    text = lambda la, n: " ".join("".join(rng.choice(makes[la]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(la, rng.randint(1, 12)), la) for i, la in enumerate([*makes] * 15)]
+    rows += [(200 + i, " ".join(text(rng.choice([*makes]), rng.randint(1, 9)) for _ in range(rng.randint(1, 4))), None) for i in range(40)]
+    rows += [(300, None, "aa"), (301, "", "bb"), (302, "4 ½", None), (303, "中文 ξένο", None), (None, text("cc", 4), "cc"), rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.learn(docs)).collect()
+    key = lambda r: (repr(r[0]), repr(r[1:2]), round(r[2], 6))
+    got = sorted(((r.doc_id, r.lang_pred, r.lang_score, [tuple(x) for x in r.lang_spans]) for r in got), key=key)
+    for g, w in zip(got, sorted(plain_languages(rows, langid.PENALTY), key=key), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-9) and g[3] == w[3]
+
+
+def test_more_languages_than_a_thousand(spark):
+    letters = "abcdefghijkl"
+    rows = [(i, f"{letters[i % 12]}{letters[i // 12 % 12]}{letters[i // 144]} " * 5, f"l{i:04}") for i in range(1400)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    docs = spark.createDataFrame([*rows, (5000, "word " * 100_000, None)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.langs) == len(rows) > 1000
+    assert langid.identify(docs.where("doc_id = 5000"), model).first().lang_pred in model.langs
+
+
 # --- licences
 
 
