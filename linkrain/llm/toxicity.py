@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -292,10 +293,14 @@ def score(documents: DataFrame, index: Index, threshold: float = 0.7) -> DataFra
     kept = documents.select("doc_id", F.col("text").cast("binary").alias("__text"))
     schema = kept.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast(EVIDENCE).alias("evidence")).schema
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.float64())]))
-    sent = documents.sparkSession.sparkContext.broadcast(index)
+    # dumped by value, as executors may have no copy of this package; a worker reads it once
+    sent = documents.sparkSession.sparkContext.broadcast({"dump": cloudpickle.dumps(index)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        held = sent.value
+        if "index" not in held:
+            held["index"] = cloudpickle.loads(held.pop("dump"))
+        index = held["index"]
         for whole in batches:
             for batch in slices(whole, "__text"):
                 out = []
