@@ -14,7 +14,7 @@ from linkrain.functions.udf import apply_along_time
 from linkrain.operators import baseline, blackout, metrics, models, nearby, spatial, temporal, timeseries, wetdry
 from linkrain.plans import flows
 from linkrain.plans.adapter import LINKS_DUCKDB, OBS, SERIES, hours, links, observations
-from linkrain.sources import synthetic
+from linkrain.sources import files, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -804,6 +804,23 @@ def s2_example_network(spark, d):
     return synthetic.example_observations(spark, 5, 0.5).groupBy("cml_id", "channel_id").agg(F.count("*").alias("n"), F.round(F.avg("rsl"), 6).alias("rsl"))
 
 
+@query(f"WITH {_O} SELECT event_id, cml_id, tsl, rsl FROM obs WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-08'")
+def s4_write_by_date(spark, d):
+    """Observations written by date and read again for three days, whose folders alone are scanned."""
+    path = files.scratch(spark)
+    files.write_by_date(observations(spark, d), path)
+    days = F.col("date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-07").cast("date"))
+    return files.read_observations(spark, path).where(days).select("event_id", "cml_id", "tsl", "rsl")
+
+
+@query(f"WITH {_O} SELECT cml_id, channel_id, epoch_us(time) * 1000 AS time_ns, tsl, rsl FROM obs")
+def s9_csv(spark, d):
+    path = files.scratch(spark)
+    made = observations(spark, d).withColumn("time_ns", F.unix_micros(F.col("time").cast("timestamp")) * 1000)
+    made.select("cml_id", "channel_id", "time", "time_ns", "tsl", "rsl").write.option("header", True).csv(path)
+    return files.read_csv(spark, path).select("cml_id", "channel_id", "time_ns", "tsl", "rsl")
+
+
 # --- chains
 
 _FLAG = f"""{_T}, {_GAP}, s AS (SELECT * EXCLUDE (wet), CASE WHEN count(trsl) OVER c = 12 THEN stddev_pop(trsl) OVER c END AS dev, row_number() OVER w AS i FROM filled WINDOW c AS ({SERIES} ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING), w AS ({SERIES})),

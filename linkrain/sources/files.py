@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,17 @@ def write_by_date(df: DataFrame, path: str, time: str = "time", mode: str = "ove
     df.withColumn("date", F.to_date(time)).write.mode(mode).partitionBy("date").parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; one of our own, removed at the end, only where that is unset and there is one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="linkrain-")
+        atexit.register(shutil.rmtree, folder, True)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def with_length(links: DataFrame) -> DataFrame:
     return links.withColumn("length_km", haversine(F.col("site_a_lon"), F.col("site_a_lat"), F.col("site_b_lon"), F.col("site_b_lat")))
 
