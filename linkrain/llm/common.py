@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder and not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
