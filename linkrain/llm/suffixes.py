@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkrain.llm.common import column
@@ -43,6 +43,8 @@ HOT, _LISTED = 2000, 1 << 27
 #: Occurrences in a pack from which on an anchor is counted for that list.
 _OFTEN = 16
 _CHUNK, _PACK = 1 << 19, 8 << 20
+#: Buckets up to which keys are chosen.
+_EVEN = 50_000
 _LAST = (1 << 63) - 1
 
 
@@ -236,6 +238,22 @@ def _place(did: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
+def even_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """Keys of n buckets that Spark's hash deals evenly to its shuffle partitions; of very many buckets their numbers, which come even."""
+    if n > _EVEN:
+        return np.arange(n, dtype=np.int64)
+    conf = spark.conf
+    parts = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
+    each = -(-n // parts)
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    # a few times as many numbers as buckets are tried
+    tried = np.array([r[0] for r in spark.range((each + 8) * parts * 4).select(at).collect()])
+    order = np.argsort(tried, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(tried[order], tried[order])
+    # the first of every partition, then the second, and so on
+    return order[np.lexsort((tried[order], place))][:n]
+
+
 def _joined(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
     parts = [unpack(b, *kinds)[0] for b in blobs]
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
@@ -311,9 +329,10 @@ def often_anchors(texts: DataFrame, length: int, gram: int, hot: int, often: int
     return np.sort(sums.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
-def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram: int, buckets: int, hot: int, often: int) -> DataFrame:
+def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram: int, labels: np.ndarray, hot: int, often: int) -> DataFrame:
     """Packed spans by text bucket, from rows (did, th, text as binary) and the same with compressed text and its bucket."""
     texts = documents.select("did", "th", "text")
+    buckets = len(labels)
     known = documents.sparkSession.sparkContext.broadcast(often_anchors(texts, length, gram, hot, often))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +340,7 @@ def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram:
         for h, did, th, lo, more in _packs(batches, Grams(gram), length):
             is_hot = hots[np.searchsorted(hots[:-1], h)] == h if len(hots) > 1 else np.zeros(len(h), bool)
             rows = []
-            for b, i in _dealt(np.where(is_hot, -1 - _place(did, th, buckets), (h % np.uint64(buckets)).astype(np.int64))):
+            for b, i in _dealt(np.where(is_hot, -1 - labels[_place(did, th, buckets)], labels[(h % np.uint64(buckets)).astype(np.int64)])):
                 if b < 0:  # known already: negative buckets pass the next step as they are
                     rows.append((b, pack(did=did[i], th=th[i], lo=lo[i], more=more[i], h=h[i], hot=np.ones(len(i), np.uint8))))
                 else:
@@ -341,7 +360,7 @@ def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram:
         order, often = order[often > 1], often[often > 1] > hot
         did, th, lo = did[order], th[order], lo[order]
         rows = []
-        for b, i in _dealt(_place(did, th, buckets)):
+        for b, i in _dealt(labels[_place(did, th, buckets)]):
             i = i[np.lexsort((lo[i], th[i], did[i]))]
             j = order[i]
             rows.append((b, pack(did=did[i], th=th[i], lo=lo[i], more=more[j], h=h[j], hot=often[i].astype(np.uint8))))
@@ -371,7 +390,7 @@ def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram:
         if out:
             d, t, a, m, x, c = zip(*out)
             d, t, a, m, x = np.array(d, "<i8"), np.array(t, "<i8"), np.array(a, "<u4"), np.array(m, "<u1"), np.array(x, "<u8")
-            for b, i in _dealt((x % np.uint64(buckets)).astype(np.int64)):
+            for b, i in _dealt(labels[(x % np.uint64(buckets)).astype(np.int64)]):
                 body = np.int64(len(i)).tobytes() + b"".join(y[i].tobytes() for y in (d, t, a, m, x)) + b"".join([c[j] for j in i.tolist()])
                 rows.append((b, zstandard.compress(body, 1)))
         if done:  # found already: negative buckets pass the next step as they are
@@ -419,7 +438,7 @@ def spans_of_repeats(documents: DataFrame, placed: DataFrame, length: int, gram:
         i, a, e = (np.array(x, np.int64) for x in zip(*spans))
         d, t = did[i], th[i]
         a, e = a.astype("<u4"), e.astype("<u4")
-        return _rows([(b, pack(did=d[j], th=t[j], a=a[j], e=e[j])) for b, j in _dealt(_place(d, t, buckets))])
+        return _rows([(b, pack(did=d[j], th=t[j], a=a[j], e=e[j])) for b, j in _dealt(labels[_place(d, t, buckets)])])
 
     asked = texts.mapInArrow(anchors, _ROW_SQL).groupBy("bucket").applyInArrow(requests, _ROW_SQL)
     sent = placed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(contexts, _ROW_SQL)
@@ -453,6 +472,7 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), le
     """
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(24, -(-size // bucket_bytes))
+    labels = even_labels(documents.sparkSession, buckets)
     keyed = documents.select(F.struct(*keep).alias("row"), F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("did"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     # texts' hashes tell rows of one id apart; they are not sent where all ids differ
     repeated = not keyed.groupBy("did").count().where("count > 1").isEmpty()
@@ -460,12 +480,12 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), le
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = _place(column(b, "did").to_numpy(), column(b, "th").to_numpy(), buckets)
+            place = labels[_place(column(b, "did").to_numpy(), column(b, "th").to_numpy(), buckets)]
             packed = [zstandard.compress(t, 1) for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), b.column(3), pa.array(place, pa.int32())], names=["row", "did", "text", "th", "bucket"])
 
     placed = keyed.mapInArrow(bucketed, keyed.withColumn("bucket", F.lit(0)).schema)
-    spans = spans_of_repeats(keyed, placed, length, gram, buckets, max(hot, size // _LISTED), often)
+    spans = spans_of_repeats(keyed, placed, length, gram, labels, max(hot, size // _LISTED), often)
 
     def cut_out(key, docs, found):
         did, th, a, e = _joined(found.column("data").to_pylist(), "<i8", "<i8", "<u4", "<u4")

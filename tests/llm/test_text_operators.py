@@ -304,6 +304,14 @@ def test_a_line_of_all_texts_in_distinct_surroundings(spark):
     assert sum(r.n_removed > 0 for r in got) > 100
 
 
+def test_buckets_are_dealt_evenly(spark):
+    for n in (3, 4, 40, 203):
+        labels = suffixes.even_labels(spark, n)
+        assert len(set(labels.tolist())) == n
+        held = spark.createDataFrame([(x,) for x in labels.tolist()], "bucket int").repartition(4, "bucket").rdd.glom().map(len).collect()
+        assert max(held) <= -(-n // 4)
+
+
 def test_repeats_over_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_CHUNK", 64)
     monkeypatch.setattr(suffixes, "_PACK", 300)
