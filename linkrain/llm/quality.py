@@ -3,9 +3,9 @@
 The text view counts what the text is made of and hashes its words; the metadata view sees source, language,
 length and the shape of lines. Each is a logistic regression. In every round each view labels all documents
 that are not among the labelled training rows, and those it is sure of become training rows of the other, of
-each label together as heavy as the labelled rows of that label. The other view then takes a Newton step,
-whose gradient and curvature are summed over all partitions. In the end each view is calibrated on
-labelled rows that were set aside, the calibrated views are combined by a logistic regression on their
+each label together a fifth as heavy as the labelled rows of that label. The other view then takes a step by the
+gradient and a bound of the curvature, which cannot overshoot; both are summed over all partitions. In the
+end each view is calibrated on labelled rows that were set aside, the calibrated views are combined by a logistic regression on their
 logits, and all documents are scored.
 
 Features of all documents are computed once and written to the shared folder, from which rounds and scores
@@ -29,7 +29,8 @@ from linkrain.llm.common import column, slices, stored
 
 #: Labelled rows, about, that are trained on (all if there are fewer; chosen by hash of the id).
 LABELLED = 6000
-ROUNDS, SURE = 3, 0.9
+#: Rounds, the least share at which a view is sure, and the weight of what it teaches by that of the labelled rows.
+ROUNDS, SURE, HEAVY = 3, 0.9, 0.2
 HASHED = 256
 _SIZES = (12 + HASHED, 8 + 64 + 16)
 _WORD = re.compile(r"\w+")
@@ -125,7 +126,7 @@ class Model:
         return shares(a * self.both[0] + b * self.both[1] + self.both[2]), shares(a), shares(b)
 
 
-#: For a learner (0: text) and a label: rows, gradient and curvature of the logistic loss.
+#: For a learner (0: text) and a label: rows, gradient and bound of the curvature of the logistic loss.
 Sums = dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray]]
 
 
@@ -139,7 +140,7 @@ def taught(views: tuple[np.ndarray, np.ndarray], weights: tuple[np.ndarray, np.n
         for label, by in ((0, 1 - p), (1, p)):
             at = by >= sure
             q = own[at]
-            out[learner, label] = float(at.sum()), x[at].T @ (q - label), (x[at] * (q * (1 - q))[:, None]).T @ x[at]
+            out[learner, label] = float(at.sum()), x[at].T @ (q - label), x[at].T @ x[at] / 4
     return out
 
 
@@ -158,11 +159,12 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Callable
             ridge = np.full(len(w), 1.0)
             ridge[-1] = 1e-3
             p = shares(np.clip(x @ w, -30, 30))
-            grad, curve = x.T @ (p - t) + ridge * w, (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
+            grad, curve = x.T @ (p - t) + ridge * w, x.T @ x / 4 + np.diag(ridge)
             for label in (0, 1):
                 rows, g, h = sums[learner, label]
                 if rows:
-                    grad, curve = grad + g * ((t == label).sum() / rows), curve + h * ((t == label).sum() / rows)
+                    by = HEAVY * (t == label).sum() / rows
+                    grad, curve = grad + g * by, curve + h * by
             weights[learner] = w - np.linalg.solve(curve, grad)
     mixed = aside.any() and 0 < y[aside].mean() < 1
     calibration = tuple(fit(logits(v[aside], w)[:, None], y[aside], 0.01) if mixed else np.array([1.0, 0.0]) for v, w in zip(views, weights))

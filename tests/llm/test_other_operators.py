@@ -314,16 +314,16 @@ def test_quality_is_the_plain_one(spark):
         new = []
         for learner in (0, 1):
             v, w, other = views[learner], weights[learner], weights[1 - learner]
-            train = [(v[j], good[rows[j][0]], 1.0, 1e-6) for j in inside]
+            train = [(v[j], good[rows[j][0]], 1.0) for j in inside]
             sure = [(j, int(p > 0.5)) for j in np.flatnonzero(~known) for p in [one(views[1 - learner][j], other)] if max(p, 1 - p) >= quality.SURE]
             for label in (0, 1):
                 part = [j for j, t in sure if t == label]
-                train += [(v[j], label, sum(good[rows[k][0]] == label for k in inside) / len(part), 0.0) for j in part]
+                train += [(v[j], label, quality.HEAVY * sum(good[rows[k][0]] == label for k in inside) / len(part)) for j in part]
             ridge = np.array([1.0] * v.shape[1] + [1e-3])
             grad, curve = ridge * w, np.diag(ridge)
-            for x, t, h, more in train:
+            for x, t, h in train:
                 p, x1 = one(x, w), np.append(x, 1.0)
-                grad, curve = grad + h * (p - t) * x1, curve + (h * p * (1 - p) + more) * np.outer(x1, x1)
+                grad, curve = grad + h * (p - t) * x1, curve + h / 4 * np.outer(x1, x1)
             new.append(w - np.linalg.solve(curve, grad))
         weights = new
     aside, t = [j for k, j in enumerate(own) if k % 5 == 4], y[4::5]
@@ -414,3 +414,18 @@ def test_pipeline_cases(spark, tmp_path):
             assert (at.count() > 0) == some
     ids = sorted(repr(r.doc_id) for r in common.stored(corpus_pipeline.near_duplicates(spark, docs, folder)).collect())
     assert ids == sorted(map(repr, [1, 2, 4, 5, None]))
+
+
+def test_teaching_keeps_what_labels_tell():
+    # many rows of which the teacher is sure, few of one label: a full Newton step would overshoot here
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.85).astype(float)
+    a = np.zeros((400, 268))
+    a[:, 0] = y + rng.normal(scale=0.2, size=400)
+    b = np.zeros((400, 88))
+    b[:, 0] = y + rng.normal(scale=0.9, size=400)
+    more = (rng.random(4000) < 0.85).astype(float)
+    pool = np.zeros((4000, 268)), np.zeros((4000, 88))
+    pool[0][:, 0], pool[1][:, 0] = more + rng.normal(scale=0.2, size=4000), more + rng.normal(scale=0.9, size=4000)
+    model = quality.co_train((a, b), y, lambda w: quality.taught(pool, w, quality.SURE))
+    assert (((model.scores(*pool)[0] >= 0.5) == more).mean()) > 0.97
